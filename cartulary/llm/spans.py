@@ -209,8 +209,8 @@ def shared_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     across = links.join(ma, "a").join(mb, "b").select("x", "y")
     many = m.where("copies > 1")
     within = many.select("rep", F.col(key).alias("x")).join(many.select("rep", F.col(key).alias("y")), "rep").where("x < y").select("x", "y")
-    both = across.unionByName(within)
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
+    both = across.unionByName(within).where("x <> y")  # a repeated key is not paired with itself
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
 def shared_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
