@@ -1,0 +1,53 @@
+"""Problem 4 on invented sentences: kinds, places and what is no case."""
+
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def found(text):
+    from cartulary.llm.personal import segments
+
+    return [(kind, text[s:e]) for s, e, kind in segments(text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "cases"),
+    [
+        ("Scrivere a Ugo.Test+3 [chiocciola] posta.example oppure al 0777-821 46 79.", [("EMAIL", "Ugo.Test+3 [chiocciola] posta.example"), ("TELEFONO", "0777-821 46 79")]),
+        ("Da avv-prova chiocciola mail punto invalid.", [("EMAIL", "avv-prova chiocciola mail punto invalid")]),
+        ("Chiama +39 301 000 4837 ore pasti.", [("TELEFONO", "+39 301 000 4837")]),
+        ("Codice fiscale abc def 15r66 z602 r. Passaporto AB 0123456.", [("DOCUMENTO", "abc def 15r66 z602 r"), ("DOCUMENTO", "AB 0123456")]),
+        ("Vive in V.le dei Cardi Alti, n° 72 bis da un mese.", [("INDIRIZZO", "V.le dei Cardi Alti, n° 72 bis")]),
+        ("Abita in corso Provese s.n.c.. Il resto.", [("INDIRIZZO", "corso Provese s.n.c.")]),
+        ("Sentiti D. Provandi, ROSSINOTTI Ada-Lea e Ugo El Testari, si riserva.", [("NOME", "D. Provandi"), ("NOME", "ROSSINOTTI Ada-Lea"), ("NOME", "Ugo El Testari")]),
+        ("Firmato xü. Estensore Qwertan Zxcvano.", [("NOME", "Qwertan Zxcvano")]),
+        ("😀 di ugo provandi inviata il 6.12.2023 e il 06/08/2023.", [("NOME", "ugo provandi")]),
+        ("Posizione di provandi ada, documento ignoto.", [("NOME", "provandi ada")]),
+        ("Nei confronti di Moussa Ada Provandi il giudizio prosegue.", [("NOME", "Moussa Ada Provandi")]),
+        ("La sig.ra A. K. non compare. Iscritto al n. 3167992461 del ruolo. Rif. prot. 0035011 del 20.2.2024.", []),
+        ("In via principale, capi da 4 a 90. La piazza antistante il valico 43 è chiusa. Modulo https://m.example/scheda/3189599203.", []),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_segments(text, cases):
+    assert found(text) == cases
+
+
+def test_masked_leaves_the_rest():
+    from cartulary.llm.personal import masked
+
+    assert masked("Poi  Ada Provandi\trinuncia. ") == "Poi  [NOME]\trinuncia. "
+    assert masked(None) is None and masked("") == ""
+
+
+def test_registered():
+    import __spark_entry__
+
+    assert {"p4_found", "p4_masked"} <= set(__spark_entry__.queries())
