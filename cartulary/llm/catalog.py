@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cartulary.llm import card_queries, packing_queries, pair_queries, personal_queries, span_queries, token_queries
+from cartulary.llm import canonical_queries, card_queries, packing_queries, pair_queries, personal_queries, span_queries, token_queries
 
-_MODULES = [pair_queries, card_queries, personal_queries, token_queries, packing_queries, span_queries]
+_MODULES = [pair_queries, card_queries, personal_queries, canonical_queries, token_queries, packing_queries, span_queries]
 
 
 def queries() -> dict:
