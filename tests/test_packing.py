@@ -1,0 +1,22 @@
+"""Problem 7: no container kind is left out."""
+
+from __future__ import annotations
+
+
+def test_more_than_a_thousand_formats(spark):
+    from cartulary.llm.packing import pack
+
+    items = spark.createDataFrame([(1, 10)], "doc_id bigint, n bigint")
+    formats = spark.range(1, 1003).selectExpr("cast(id as int) AS formato_id", "5L AS capienza")
+    packed = pack(items, "doc_id", "n", formats)
+    assert packed.select("formato_id").distinct().count() == 1002
+    assert packed.count() == 2004 and packed.agg({"n": "sum"}).first()[0] == 10020
+
+
+def test_small_formats(spark):
+    from cartulary.llm.packing import pack
+
+    items = spark.createDataFrame([(1, 7), (2, 3), (3, 4), (4, None)], "doc_id bigint, n bigint")
+    formats = spark.createDataFrame([(1, 7), (2, 20), (3, 0)], "formato_id int, capienza int")
+    packed = pack(items, "doc_id", "n", formats)
+    assert {(r.formato_id, r.n) for r in packed.groupBy("formato_id").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()} == {(1, 14), (2, 14)}
