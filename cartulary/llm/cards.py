@@ -75,10 +75,11 @@ def collapsed(cards: DataFrame) -> DataFrame:
 
     Rows lacking court, number or date can not be compared: each stays a card of its own with
     one copy. The counts are combined map-side, so that a card with a third of all rows as
-    copies sends one row a partition."""
-    f = fingerprints(cards)
-    first = F.min(F.struct("scheda_id", "corte", "numero", "tc", "tn")).alias("f")
-    groups = f.groupBy("date", "h1", "h2").agg(first, F.count(F.lit(1)).alias("copie"))
+    copies sends one row a partition. Rows of equal fingerprints are one card only if their
+    fields hold the same tokens as often: a collision of the hashes merges nothing."""
+    f = fingerprints(cards).withColumn("tc", F.sort_array("tc")).withColumn("tn", F.sort_array("tn"))
+    first = F.min(F.struct("scheda_id", "corte", "numero")).alias("f")
+    groups = f.groupBy("date", "h1", "h2", "tc", "tn").agg(first, F.count(F.lit(1)).alias("copie"))
     whole = groups.select("f.scheda_id", "copie", "f.corte", "f.numero", "date")
     bare = cards.where(F.col("date").isNull() | F.col("corte").isNull() | F.col("numero").isNull() | tokens(F.col("corte")).isNull() | tokens(F.col("numero")).isNull())
     return whole.unionByName(bare.select("scheda_id", F.lit(1).cast("bigint").alias("copie"), "corte", "numero", "date"))

@@ -1,0 +1,15 @@
+"""Problem 3: cards of equal fingerprints are verified before they are counted as one."""
+
+from __future__ import annotations
+
+from datetime import date
+
+
+def test_collisions_do_not_merge(spark, monkeypatch):
+    from cartulary.llm import cards
+
+    monkeypatch.setattr(cards, "_MASK", 0)  # every token's hash is 0: all cards of a day collide
+    day = date(2024, 1, 2)
+    rows = [(1, day, "Tribunale di Provanico", "12/2024"), (2, day, "TRIBUNALE  di provanico", "2024-12"), (3, day, "Tribunale di Testarolo", "12/2024"), (4, day, "Provanico", "12/12/2024"), (5, day, "Provanico", "12/2024/2024"), (6, None, "Provanico", "1")]
+    table = spark.createDataFrame(rows, "scheda_id bigint, date date, corte string, numero string")
+    assert sorted((r.scheda_id, r.copie) for r in cards.collapsed(table).collect()) == [(1, 2), (3, 1), (4, 1), (5, 1), (6, 1)]
