@@ -158,22 +158,31 @@ def _verified(gram: int):
     return run
 
 
-def classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+def gram_of(least: int) -> int:
+    """Characters of a token where none are given: GRAM for LEAST, in proportion for others."""
+    if not 1 <= least < 2048:  # a window's sides are packed into 12 bits each
+        raise ValueError(f"least must be from 1 to 2047, not {least}")
+    return max(1, least * GRAM // LEAST)
+
+
+def classes(docs: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
     """rep (smallest key), n (code points), copies, of every class of equal texts of at least
-    LEAST characters, with the fingerprint f1, f2; combined map-side."""
+    ``least`` characters, with the fingerprint f1, f2; combined map-side."""
     t = F.col(text)
-    long = docs.where(F.col(key).isNotNull() & (F.length(t) >= LEAST))
+    long = docs.where(F.col(key).isNotNull() & (F.length(t) >= least))
     long = long.select(F.col(key), F.xxhash64(t).alias("f1"), F.xxhash64(F.lit(1), t).alias("f2"), F.length(t).alias("n"))
     return long.groupBy("f1", "f2", "n").agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("copies"))
 
 
-def shared_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def shared_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int | None = None) -> DataFrame:
     """a < b: representatives of two classes of equal texts that share a passage of at least
     ``least`` characters; from_a, from_b, n: a passage. All such passages are covered.
 
     Null, empty and shorter texts share nothing. Equal texts are represented by their
-    smallest key: see ``classes``."""
-    reps = classes(docs, key, text).select(F.col("rep").alias(key))
+    smallest key: see ``classes``. A token has ``gram`` characters, at most ``least``; half of
+    ``least`` if not given."""
+    gram = gram_of(least) if gram is None else gram
+    reps = classes(docs, key, text, least).select(F.col("rep").alias(key))
     own = docs.where(F.length(text) >= least).select(key, text).join(reps.hint("merge"), key)
     found = materialize(windows(own, key, text, least, gram), "finestre")
     often = found.groupBy("h").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo < hi").select("h")
@@ -194,17 +203,17 @@ def shared_spans(docs: DataFrame, key: str, text: str, least: int = LEAST, gram:
     return true.select("a", "b", (F.col("pa") - F.col("n_l")).alias("from_a"), (F.col("pb") - F.col("n_l")).alias("from_b"), (F.col("n_l") + F.col("n_r")).alias("n"))
 
 
-def members(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """rep, key of every text of at least LEAST characters."""
+def members(docs: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+    """rep, key of every text of at least ``least`` characters."""
     t = F.col(text)
-    own = docs.where(F.col(key).isNotNull() & (F.length(t) >= LEAST)).select(F.col(key), F.xxhash64(t).alias("f1"), F.xxhash64(F.lit(1), t).alias("f2"), F.length(t).alias("n"))
-    return own.join(classes(docs, key, text), ["f1", "f2", "n"]).select("rep", key, "n", "copies")
+    own = docs.where(F.col(key).isNotNull() & (F.length(t) >= least)).select(F.col(key), F.xxhash64(t).alias("f1"), F.xxhash64(F.lit(1), t).alias("f2"), F.length(t).alias("n"))
+    return own.join(classes(docs, key, text, least), ["f1", "f2", "n"]).select("rep", key, "n", "copies")
 
 
-def shared_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """doc_a < doc_b of every two rows whose texts share a passage of LEAST characters."""
-    links = shared_spans(docs, key, text).select("a", "b").distinct()
-    m = materialize(members(docs, key, text).select("rep", key, "copies"), "classi")
+def shared_pairs(docs: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
+    """doc_a < doc_b of every two rows whose texts share a passage of ``least`` characters."""
+    links = shared_spans(docs, key, text, least).select("a", "b").distinct()
+    m = materialize(members(docs, key, text, least).select("rep", key, "copies"), "classi")
     ma, mb = m.select(F.col("rep").alias("a"), F.col(key).alias("x")), m.select(F.col("rep").alias("b"), F.col(key).alias("y"))
     across = links.join(ma, "a").join(mb, "b").select("x", "y")
     many = m.where("copies > 1")
@@ -213,17 +222,17 @@ def shared_pairs(docs: DataFrame, key: str, text: str) -> DataFrame:
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
-def shared_lengths(docs: DataFrame, key: str, text: str) -> DataFrame:
+def shared_lengths(docs: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
     """Every row with n_chars and shared: the characters of its text inside passages of at
-    least LEAST characters that occur in another row too; 0 for null, empty, short texts."""
+    least ``least`` characters that occur in another row too; 0 for null, empty, short texts."""
     from pyspark.sql import Window
 
-    spans = shared_spans(docs, key, text)
+    spans = shared_spans(docs, key, text, least)
     sides = spans.select(F.col("a").alias("rep"), F.col("from_a").alias("s"), (F.col("from_a") + F.col("n")).alias("e")).unionByName(spans.select(F.col("b").alias("rep"), F.col("from_b").alias("s"), (F.col("from_b") + F.col("n")).alias("e"))).groupBy("rep", "s").agg(F.max("e").alias("e"))
     w = Window.partitionBy("rep").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max("e").over(w), F.lit(0))
     covered = sides.withColumn("c", F.greatest(F.col("e") - F.greatest(F.col("s"), reached), F.lit(0))).groupBy("rep").agg(F.sum("c").alias("c"))
-    m = members(docs, key, text).join(covered, "rep", "left")
+    m = members(docs, key, text, least).join(covered, "rep", "left")
     part = m.select(key, F.when(F.col("copies") > 1, F.col("n").cast("bigint")).otherwise(F.coalesce("c", F.lit(0))).alias("c"))
     part = part.groupBy(key).agg(F.max("c").alias("c"))
     return docs.select(F.col(key), F.length(text).cast("bigint").alias("n_chars")).join(part, key, "left").select(key, "n_chars", F.coalesce("c", F.lit(0)).cast("bigint").alias("shared"))

@@ -1,0 +1,16 @@
+"""Problem 8 with passages shorter than the registered 160 characters."""
+
+from __future__ import annotations
+
+
+def test_shorter_passages(spark):
+    from cartulary.llm.spans import shared_lengths, shared_pairs, shared_spans
+
+    same = "una parte inventata che torna uguale in due testi diversi"
+    rows = [(1, "A" * 3 + same + "xyz"), (2, "qrs tuv " + same), (3, "niente di comune con gli altri, ma lungo abbastanza davvero"), (4, None), (5, "corto")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spans = [tuple(r) for r in shared_spans(docs, "doc_id", "text", least=50).select("a", "b", "from_a", "from_b", "n").distinct().collect()]
+    assert (1, 2, 3, 8, len(same)) in spans
+    assert [tuple(r) for r in shared_pairs(docs, "doc_id", "text", least=50).collect()] == [(1, 2)]
+    assert {r.doc_id: r.shared for r in shared_lengths(docs, "doc_id", "text", least=50).collect()} == {1: len(same), 2: len(same), 3: 0, 4: 0, 5: 0}
+    assert shared_pairs(docs, "doc_id", "text").count() == 0
