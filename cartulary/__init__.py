@@ -1,3 +1,4 @@
-"""Document-corpus engine on PySpark: sources, scalar functions, operators and queries."""
+"""Document-corpus engine on PySpark: scalar functions, operators and queries. No sources and
+no pipeline yet: see the README."""
 
 __version__ = "0.1.0"
