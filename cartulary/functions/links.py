@@ -22,18 +22,27 @@ def _decoded(x: Column) -> Column:
     return F.when(F.contains(x, F.lit("%")), F.coalesce(read, x)).otherwise(x)
 
 
+def _stepped(path: Column) -> Column:
+    """A path without ``..``: every such step takes back the step before it, if there is one."""
+    step = lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    parts = F.split(F.substring(path, 2, 2**31 - 1), "/")
+    walked = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    return F.when(F.contains(path, F.lit("/..")), walked).otherwise(path)
+
+
 def link_key(href: Column) -> Column:
     """``file#anchor`` in lower case for a link into the folder of the acts, ``file#``
     without a fragment, null for any other link, for null and for blank.
 
-    White space around, scheme and host, ``.`` and ``..`` steps, doubled slashes, query,
+    Any host counts as the site's own: the cards write it in several ways, and an address of
+    another site does not hold the folder's name. White space around, scheme and host, ``.`` and ``..`` steps, doubled slashes, query,
     percent escapes and letter case do not matter; a folder stands for its index.html. Each
     costly step reads the one before it once: inlining by the optimizer stays linear."""
     x = F.btrim(href, F.lit(BLANKS))
     page = F.lower(_decoded(F.substring_index(F.substring_index(x, "#", 1), "?", 1)))
     page = F.regexp_extract_all(F.translate(page, "\\", "/"), F.lit(_BEFORE + ROOT.rstrip("/") + "(/.*)$"), F.lit(1))
-    page = F.regexp_replace(F.try_element_at(page, F.lit(1)), r"/+(?:\./+)*", "/")
-    page = F.regexp_replace(page, r"/[^/]+/\.\./", "/")
+    page = F.transform(page, lambda p: F.regexp_replace(p, r"/+(?:\./+)*", "/"))
+    page = F.try_element_at(F.transform(page, _stepped), F.lit(1))
     page = F.regexp_replace(F.regexp_replace(page, r"/([^/.]+)$", "/$1/"), r"/$", "/index.html")
     anchor = F.lower(_decoded(F.split_part(x, F.lit("#"), F.lit(2))))
     return F.concat(F.substring(page, 2, 2**31 - 1), F.lit("#"), anchor)

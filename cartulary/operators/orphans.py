@@ -23,11 +23,10 @@ MISSING, DELETED, LATE, UNDATED = "assente", "rimosso", "tardivo", "senza data"
 def hot_keys(refs: DataFrame, key: str) -> list:
     """Keys holding at least one in HOT_SHARE of the rows; at most HOT_SHARE of them. The
     counts are combined map-side before anything is shuffled."""
-    counts = refs.groupBy(key).count()
-    top = counts.orderBy(F.desc("count")).limit(HOT_SHARE)
-    total = counts.agg(F.sum("count").alias("total"))
-    rows = top.join(F.broadcast(total)).where(F.col("count") * HOT_SHARE >= F.col("total")).collect()
-    return [r[key] for r in rows if r[key] is not None]
+    total = refs.where(F.col(key).isNotNull()).count()
+    counts = refs.where(F.col(key).isNotNull()).groupBy(key).count()
+    rows = counts.where(F.col("count") * HOT_SHARE >= total).collect() if total else []
+    return [r[key] for r in rows]
 
 
 def merge_join(refs: DataFrame, parents: DataFrame, key: str, spread: Column, hot: list) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_log = logging.getLogger(__name__)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset (tests, a
-    single machine) a folder of our own is created and set."""
+    """The folder named by ``spark.checkpoint.dir``; only where that is unset and driver and
+    executors are one process (tests, a single machine) a folder of our own is created and
+    set. On a cluster an unset folder is an error: a local one would lose rows."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"cartulary-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(at)
         spark.conf.set("spark.checkpoint.dir", at)
@@ -43,12 +50,18 @@ def drop_materialized() -> None:
     """Remove the tables that ``materialize`` wrote."""
     while _written:
         spark, at = _written.pop()
+        if spark.sparkContext._jsc is None:  # stopped: a mounted folder can still be cleared
+            local = at.removeprefix("file://")
+            if local.startswith("/"):
+                shutil.rmtree(local, ignore_errors=True)
+            else:
+                _log.warning("%s stays: its session has ended", at)
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
         try:
-            jvm = spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session is gone: nothing can be removed through it
-            pass
+        except Exception as failed:
+            _log.warning("%s stays: %s", at, failed)
 
 
 atexit.register(drop_materialized)
