@@ -40,12 +40,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared folder and read it back: cuts the
     lineage, computes it once and survives the loss of executors. Removed at exit."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = scratch(spark, name)
     df.write.parquet(at)
-    _written.append((spark, at))
     return spark.read.schema(df.schema).parquet(at)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh place in the shared folder, removed at exit."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, at))
+    return at
+
+
 def drop_materialized() -> None:
     """Remove the tables that ``materialize`` wrote."""
     while _written:
