@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cartulary.plans import archive_queries, file_queries, orphan_queries, page_queries, reader_queries, scalar_queries
+from cartulary.plans import archive_queries, file_queries, orphan_queries, page_queries, reader_queries, relational_queries, scalar_queries, site_queries, stream_queries
 
-_MODULES = [orphan_queries, scalar_queries, reader_queries, page_queries, archive_queries, file_queries]
+_MODULES = [orphan_queries, scalar_queries, reader_queries, page_queries, archive_queries, file_queries, site_queries, relational_queries, stream_queries]
 
 
 def queries() -> dict:
