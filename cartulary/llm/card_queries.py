@@ -27,12 +27,15 @@ def _norm(x: str) -> str:
     return f"list_sort(regexp_extract_all({joined}, '\\p{{N}}+|[\\p{{L}}\\p{{M}}]+'))"
 
 
+_BLANK = "[\\s\\x{0b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]*"
+
 _KEYED = f"""
 t AS (
-  SELECT scheda_id, date, corte, numero, {_norm('corte')} AS tc, {_norm('numero')} AS tn FROM giurisprudenza),
-f AS (SELECT * FROM t WHERE date IS NOT NULL AND len(tc) > 0 AND len(tn) > 0)"""
+  SELECT scheda_id, date, corte, numero, {_norm('corte')} AS tc, {_norm('numero')} AS tn,
+    coalesce(date IS NOT NULL AND NOT regexp_full_match(corte, '{_BLANK}') AND NOT regexp_full_match(numero, '{_BLANK}'), false) AS presente FROM giurisprudenza),
+f AS (SELECT * FROM t WHERE presente)"""
 
 SQL = {
     "p3_found": f"WITH {_KEYED} SELECT DISTINCT a.scheda_id AS scheda_a, b.scheda_id AS scheda_b FROM f a JOIN f b ON a.date = b.date AND a.tc = b.tc AND a.tn = b.tn AND a.scheda_id < b.scheda_id",
-    "p3_cards": f"WITH {_KEYED} SELECT min(scheda_id) AS scheda_id, count(*) AS copie, arg_min(corte, scheda_id) AS corte, arg_min(numero, scheda_id) AS numero, date FROM f GROUP BY date, tc, tn UNION ALL SELECT scheda_id, 1, corte, numero, date FROM t WHERE date IS NULL OR tc IS NULL OR tn IS NULL OR len(tc) = 0 OR len(tn) = 0",
+    "p3_cards": f"WITH {_KEYED} SELECT min(scheda_id) AS scheda_id, count(*) AS copie, arg_min(corte, scheda_id) AS corte, arg_min(numero, scheda_id) AS numero, date FROM f GROUP BY date, tc, tn UNION ALL SELECT scheda_id, 1, corte, numero, date FROM t WHERE NOT presente",
 }
