@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
 
 def found(text):
     from cartulary.llm.personal import segments
@@ -47,6 +42,71 @@ def test_masked_leaves_the_rest():
     assert masked(None) is None and masked("") == ""
 
 
+def accuracy(given, seed):
+    from cartulary.llm import labelled, personal
+
+    both = found = gold = 0
+    for text, spans in labelled.sentences(given, 600, seed):
+        a, b = set(personal.segments(text)), set(spans)
+        both, found, gold = both + len(a & b), found + len(a), gold + len(b)
+    return both / found, both / gold
+
+
+def test_held_out_accuracy():
+    from cartulary.llm import personal
+
+    precision, recall = accuracy(sorted(personal.GIVEN), 1001)
+    assert precision > 0.98 and recall > 0.98
+
+
+def test_names_that_no_list_holds():
+    """Given names drawn from invented ones only."""
+    precision, recall = accuracy(["zorvia", "belquando", "trinalfo"], 1002)
+    assert precision > 0.95 and recall > 0.93
+
+
+def test_training_is_repeatable_and_gradient_right():
+    from cartulary.llm import labelled, personal
+
+    sample = labelled.sentences(sorted(personal.GIVEN), 40, 5)
+    assert personal.trained(sample, 2) == personal.trained(sample, 2)
+    # one text: expectations by all segmentations
+    text, gold = next((t, g) for t, g in sample if 2 <= len(personal.candidates(t)) <= 9)
+    found = personal._sorted(personal.candidates(text))
+    weights = {x: (len(x) % 5 - 2) / 3 for c in found for x in c[3]}
+    scores = [sum(weights[x] for x in c[3]) for c in found]
+    import math
+
+    total, taken = 0.0, [0.0] * len(found)
+    for bits in range(1 << len(found)):
+        own = [k for k in range(len(found)) if bits >> k & 1]
+        if all(found[i][1] <= found[j][0] or found[j][1] <= found[i][0] for i in own for j in own if i < j):
+            p = math.exp(sum(scores[k] for k in own))
+            total += p
+            for k in own:
+                taken[k] += p
+    want: dict[str, float] = {}
+    for k, c in enumerate(found):
+        for x in c[3]:
+            want[x] = want.get(x, 0.0) + (c[:3] in set(gold)) - taken[k] / total
+    got = personal._gradient(found, set(gold), weights)
+    assert all(abs(got.get(x, 0.0) - w) < 1e-2 for x, w in want.items())
+
+
+def test_found_spans(spark):
+    from cartulary.llm.personal import found_spans, masked_texts
+
+    rows = spark.createDataFrame([(1, "😀 Firmato Ada Provandi.", "x"), (2, None, "x"), (3, "", "x"), (4, "nulla", "x"), (1, "😀 Firmato Ada Provandi.", "x")], "id bigint, massima string, tipo string")
+    assert sorted(tuple(r) for r in found_spans(rows, "id", "massima").collect()) == [(1, 10, 22, "NOME")] * 2
+    assert sorted((r.id, r.testo) for r in masked_texts(rows, "id", "massima").where("testo IS NOT NULL").collect()) == [(1, "😀 Firmato [NOME].")] * 2 + [(3, ""), (4, "nulla")]
+    assert found_spans(rows.where("id > 9"), "id", "massima").count() == 0
+
+
+def test_long_text():
+    text = "Il termine decorre. " * 20_000 + "Firmato Ada Provandi."
+    assert found(text) == [("NOME", "Ada Provandi")]
+
+
 def test_registered():
     import __spark_entry__
 
