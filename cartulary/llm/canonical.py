@@ -72,7 +72,7 @@ def edits(word: Column) -> Column:
 def corrected(words: DataFrame, known: DataFrame) -> DataFrame:
     """campo, w, canoni array<string>: what the list words nearest to each of ``words`` (campo,
     w) within the edits allowed stand for, all of equal distance. ``known``: campo, r, canon.
-    Words without one are left out. Segments of ``known`` are broadcast: it comes from the reference list."""
+    Words without one are left out."""
     k = F.col("k")
     cut = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct((F.floor(F.length("r") * i / (k + 1))).cast("int").alias("at"), (F.floor(F.length("r") * (i + 1) / (k + 1)) - F.floor(F.length("r") * i / (k + 1))).cast("int").alias("len")))
     segments = known.withColumn("k", edits(F.col("r"))).where("k > 0").withColumn("cut", F.explode(cut))
@@ -81,8 +81,10 @@ def corrected(words: DataFrame, known: DataFrame) -> DataFrame:
     parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.length("w") - n), lambda s: F.struct(s.cast("int").alias("s"), F.substring(F.col("w"), s + 1, n).alias("seg")))))
     probes = words.where("length(w) >= 3").select("campo", "w", F.explode(parts).alias("p")).select("campo", "w", "p.s", "p.seg")
     near = (F.abs(F.col("s") - F.col("at")) <= k) & (F.abs(F.length("w") - F.length("r")) <= k)
-    pairs = probes.join(F.broadcast(segments), ["campo", "seg"]).where(near).select("campo", "w", "r", "canon", "k").distinct()
-    pairs = pairs.withColumn("d", F.levenshtein("w", "r")).where("d <= k")
+    pairs = probes.join(segments, ["campo", "seg"]).where(near).select("campo", "w", "r", "canon", "k").distinct()
+    # a third edit counts only where two of the three are letters that changed places
+    letters = lambda x, y: F.size(F.array_except(F.split(x, ""), F.split(y, "")))
+    pairs = pairs.withColumn("d", F.levenshtein("w", "r")).where((F.col("d") <= F.col("k")) & ((F.col("d") < 3) | (letters("w", "r") + letters("r", "w") <= 2)))
     near_by = pairs.groupBy("campo", "w").agg(F.min("d").alias("d"), F.collect_set(F.struct("d", "canon")).alias("all"))
     return near_by.select("campo", "w", F.array_distinct(F.expr("transform(filter(all, a -> a.d = d), a -> a.canon)")).alias("canoni"))
 
@@ -105,7 +107,7 @@ def mapped(values: DataFrame, voci: DataFrame) -> DataFrame:
     tokens = materialize(forms.select("campo", "x", "lettura", F.explode(F.array_distinct(_words(F.col("f")))).alias("w")), "parole")
     listed = _listed(voci).join(F.broadcast(fixed), ["campo", "w"], "left").withColumn("canon", F.coalesce("canon", "w"))
     own = listed.select("campo", "w", "canon").unionByName(fixed).distinct()
-    strange = tokens.select("campo", "w").distinct().join(F.broadcast(own), ["campo", "w"], "left_anti")
+    strange = tokens.select("campo", "w").distinct().join(own, ["campo", "w"], "left_anti")
     known = own.where("w NOT RLIKE '[0-9]'").withColumnRenamed("w", "r")
     exact = own.groupBy("campo", "w").agg(F.collect_set("canon").alias("canoni"))
     canon = exact.unionByName(corrected(strange, known))
@@ -114,14 +116,14 @@ def mapped(values: DataFrame, voci: DataFrame) -> DataFrame:
         return F.concat_ws(" ", F.sort_array(F.array_distinct(words)))
 
     entries = listed.groupBy("campo", "voce_id", "forma").agg(F.collect_set(F.when(F.col("canon") != "", F.col("canon"))).alias("parti")).where("size(parti) > 0")
-    most = entries.agg(F.max(F.size("parti")).alias("most"))
+    most = entries.agg(F.max(F.size("parti"))).first()[0] or 0
     entries = entries.groupBy("campo", key(F.col("parti")).alias("chiave")).agg(F.min("voce_id").alias("voce_id"))
     # words that stand for nothing fall out; a reading with more words than any entry means none
     parts = tokens.join(canon, ["campo", "w"], "left").withColumn("canoni", F.coalesce("canoni", F.array("w"))).where("NOT array_contains(canoni, '')")
-    parts = parts.groupBy("campo", "x", "lettura").agg(F.collect_set("canoni").alias("parti")).join(F.broadcast(most), F.size("parti") <= F.col("most"))
+    parts = parts.groupBy("campo", "x", "lettura").agg(F.collect_set("canoni").alias("parti")).where(F.size("parti") <= most)
     every = F.aggregate("parti", F.array(F.array().cast("array<string>")), lambda acc, alts: F.flatten(F.transform(acc, lambda a: F.transform(alts, lambda w: F.concat(a, F.array(w))))))
     keys = parts.select("campo", "x", "lettura", F.explode(F.array_distinct(F.transform(every, key))).alias("chiave"))
-    meant = keys.join(F.broadcast(entries), ["campo", "chiave"]).groupBy("campo", "x").agg(F.min(F.struct("lettura", "voce_id")).alias("m")).select("campo", "x", "m.voce_id")
+    meant = keys.join(entries, ["campo", "chiave"]).groupBy("campo", "x").agg(F.min(F.struct("lettura", "voce_id")).alias("m")).select("campo", "x", "m.voce_id")
     return values.join(meant, ["campo", "x"], "left").select("campo", "valore", F.coalesce("voce_id", F.lit(0)).cast("bigint").alias("voce_id"))
 
 
@@ -135,5 +137,5 @@ def found_values(rows: DataFrame, voci: DataFrame, key: str) -> DataFrame:
     """tabella, campo, key, voce_id of every value of ``rows`` that is not blank and not a
     name of its field as the list writes it."""
     names = voci.select("campo", F.col("nome").alias("valore")).distinct()
-    free = rows.join(F.broadcast(names), ["campo", "valore"], "left_anti")
+    free = rows.join(names, ["campo", "valore"], "left_anti")
     return free.join(mapped(free.select("campo", "valore"), voci), ["campo", "valore"]).select("tabella", "campo", key, "voce_id").distinct()

@@ -25,8 +25,8 @@ def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     voci = table(spark, sf_dir, "voci")
     names = voci.select("campo", F.col("nome").alias("valore")).distinct()
     rows = _values(spark, sf_dir).groupBy("tabella", "campo", "valore").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(F.broadcast(names), ["campo", "valore"], "left_anti")
-    named = mapped(rows.select("campo", "valore"), voci).join(F.broadcast(voci.select("voce_id", "nome")), "voce_id", "left")
+    rows = rows.join(names, ["campo", "valore"], "left_anti")
+    named = mapped(rows.select("campo", "valore"), voci).join(voci.select("voce_id", "nome"), "voce_id", "left")
     return rows.join(named, ["campo", "valore"]).select("tabella", "campo", "valore", "voce_id", "nome", "n")
 
 
