@@ -8,7 +8,8 @@ the field; at most HEAVY items can, so their list has a proven bound. Within eac
 * heavy-light pairs by probing the bit rows at the positions in the light item's list;
 * light-light pairs are hash-counted.
 
-Every partition sends one partial count a pair; the sums are exact.
+A partition sums its counts up and sends one partial count a pair, or a few where its pairs
+do not fit in a bounded table; the sums over all of them are exact.
 """
 
 from __future__ import annotations
@@ -21,12 +22,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.functions.links import link_key
+from cartulary.operators.orphans import hot_keys, merge_join
+from cartulary.session import materialize
+
 #: Bound of the number of heavy items a field.
 HEAVY = 512
 
 #: Rows of a bit matrix: HEAVY x BLOCK bits are held at a time.
 BLOCK = 1 << 15
 
+#: Pairs and names that a partition holds before it sums up and gives away what it has.
+PENDING, NAMES = 1 << 22, 1 << 20
+
 _SCHEMA = "campo string, voce_a string, voce_b string, k bigint"
 
 
@@ -56,35 +64,79 @@ def heavy_light(dense: np.ndarray, rows: np.ndarray, codes: np.ndarray) -> tuple
     return codes[first], counts
 
 
-def light_light(rows: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash-counted pairs (smaller code first) of the light occurrences, rows ascending."""
-    found, shift = [], 1
+def light_light(rows: np.ndarray, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of codes (smaller first) of the light occurrences, rows ascending: of neighbours,
+    of every second, and so on, until no row is that long. An array at a time."""
+    shift = 1
     while shift < len(rows):
         same = np.flatnonzero(rows[shift:] == rows[:-shift])
         if not len(same):
             break
         x, y = codes[same], codes[same + shift]
-        found.append(np.minimum(x, y) * n + np.maximum(x, y))
+        yield np.minimum(x, y), np.maximum(x, y)
         shift += 1
-    keys, k = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-    return keys // n, keys % n, k
+
+
+class Counts:
+    """Pair counts of one partition: arrays of (pair, count), summed up when there are many,
+    and given away when the sums themselves are. Memory is bounded by PENDING and NAMES."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, int] = {}
+        self.keys: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.pending = 0
+
+    def codes(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words in this partition."""
+        own = self.names
+        return np.fromiter((own.setdefault(w, len(own)) for w in words), np.int64, len(words))
+
+    def add(self, a: np.ndarray, b: np.ndarray, k: np.ndarray | None = None) -> None:
+        self.keys.append(a << 32 | b)
+        self.values.append(np.ones(len(a), np.int64) if k is None else k)
+        self.pending += len(a)
+        if self.pending > PENDING:
+            self.sum_up()
+
+    def sum_up(self) -> None:
+        if not self.keys:
+            return
+        keys, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, at, np.concatenate(self.values))
+        self.keys, self.values, self.pending = [keys], [sums], len(keys)
+
+    def full(self) -> bool:
+        return self.pending > PENDING // 2 or len(self.names) > NAMES
+
+    def taken(self) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Names, codes of either side and counts; empties the table."""
+        self.sum_up()
+        keys, sums = (self.keys[0], self.values[0]) if self.keys else (np.zeros(0, np.int64),) * 2
+        names = list(self.names)
+        self.__init__()
+        return names, keys >> 32, keys & 0xFFFFFFFF, sums
 
 
 def _partial(heavy: dict[str, list[str]], wanted: dict[str, list[str]] | None):
     """Counter of one partition. heavy, wanted: lists by field; items not wanted are skipped."""
 
+    def out(campo: str, names: list[str], a: np.ndarray, b: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        words = pa.array(names, pa.string())
+        for at in range(0, len(k), BLOCK):
+            x, y = words.take(pa.array(a[at : at + BLOCK])), words.take(pa.array(b[at : at + BLOCK]))
+            first = pc.less(x, y)  # byte order
+            columns = [pa.array([campo] * len(x), pa.string()), pc.if_else(first, x, y), pc.if_else(first, y, x), pa.array(k[at : at + BLOCK], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["campo", "voce_a", "voce_b", "k"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {c: np.zeros((len(h), len(h)), np.int64) for c, h in heavy.items()}
-
-        def out(campo: str, a: list, b: list, k: np.ndarray) -> pa.RecordBatch:
-            swap = [x > y for x, y in zip(a, b)]
-            lo = [y if s else x for x, y, s in zip(a, b, swap)]
-            hi = [x if s else y for x, y, s in zip(a, b, swap)]
-            return pa.RecordBatch.from_arrays([pa.array([campo] * len(lo), pa.string()), pa.array(lo, pa.string()), pa.array(hi, pa.string()), pa.array(k, pa.int64())], names=["campo", "voce_a", "voce_b", "k"])
-
+        counts = {c: Counts() for c in heavy}
         for batch in batches:
             fields = batch.column(0)
             for campo, h in heavy.items():
+                own = counts[campo]
                 lists = batch.column(1).filter(pc.fill_null(pc.equal(fields, campo), False))
                 for at in range(0, len(lists), BLOCK):
                     block = lists.slice(at, BLOCK)
@@ -100,19 +152,24 @@ def _partial(heavy: dict[str, list[str]], wanted: dict[str, list[str]] | None):
                     if is_heavy.all():
                         continue
                     words = pc.dictionary_encode(items.filter(pa.array(~is_heavy)))
-                    names, codes, rows = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), rows[~is_heavy]
+                    light = own.codes(words.dictionary.to_pylist())
+                    codes, rows = words.indices.to_numpy().astype(np.int64), rows[~is_heavy]
                     if len(h):
-                        light, counts = heavy_light(dense, rows, codes)
-                        i, j = np.nonzero(counts)
-                        if len(i):
-                            yield out(campo, [names[x] for x in light[i]], [h[x] for x in j], counts[i, j])
-                    a, b, k = light_light(rows, codes, len(names))
-                    if len(a):
-                        yield out(campo, [names[x] for x in a], [names[x] for x in b], k)
+                        listed, held = heavy_light(dense, rows, codes)
+                        i, j = np.nonzero(held)
+                        big = own.codes(h)
+                        x, y = light[listed[i]], big[j]
+                        own.add(np.minimum(x, y), np.maximum(x, y), held[i, j])
+                    for x, y in light_light(rows, light[codes]):
+                        own.add(x, y)
+                    if own.full():
+                        own.sum_up()
+                        if own.full():
+                            yield from out(campo, *own.taken())
         for campo, h in heavy.items():
+            yield from out(campo, *counts[campo].taken())
             i, j = np.nonzero(sums[campo])
-            if len(i):
-                yield out(campo, [h[x] for x in i], [h[x] for x in j], sums[campo][i, j])
+            yield from out(campo, h, i, j, sums[campo][i, j])
 
     return counted
 
@@ -142,16 +199,19 @@ def item_pairs(rows: DataFrame, least: int = 1, least_share: int = 0) -> DataFra
         wanted = {c: [] for c in sizes}
         for r in count.where(often).select("campo", "voce").collect():
             wanted[r["campo"]].append(r["voce"])
-    part = rows.mapInArrow(_partial(heavy, wanted), _SCHEMA)
-    pairs = part.groupBy("campo", "voce_a", "voce_b").agg(F.sum("k").alias("k")).where(F.col("k") >= least)
-    pairs = pairs.join(count.select("campo", F.col("voce").alias("voce_a"), F.col("k").alias("n_a")), ["campo", "voce_a"])
-    pairs = pairs.join(count.select("campo", F.col("voce").alias("voce_b"), F.col("k").alias("n_b")), ["campo", "voce_b"])
     of_field = F.lit(None).cast("bigint")
     for campo, (rows_of, _) in sizes.items():
         of_field = F.when(F.col("campo") == campo, F.lit(rows_of).cast("bigint")).otherwise(of_field)
-    pairs = pairs.withColumn("n", of_field)
+    part = rows.mapInArrow(_partial(heavy, wanted), _SCHEMA)
+    pairs = part.groupBy("campo", "voce_a", "voce_b").agg(F.sum("k").alias("k")).where(F.col("k") >= least).withColumn("n", of_field)
     if least_share:
         pairs = pairs.where(F.col("k") * least_share >= F.col("n"))
+    pairs = materialize(pairs, "coppie")  # read for the hot items and for the joins
+    key = lambda voce: F.concat_ws("\0", "campo", voce)
+    for voce, n in (("voce_a", "n_a"), ("voce_b", "n_b")):
+        own = count.select(F.concat_ws("\0", "campo", "voce").alias("_v"), F.col("k").alias(n))
+        keyed = pairs.withColumn("_v", key(voce))
+        pairs = merge_join(keyed, own, "_v", F.struct("voce_a", "voce_b"), hot_keys(keyed, "_v")).drop("_v")
     lift = F.col("k") * F.col("n").cast("double") / (F.col("n_a").cast("double") * F.col("n_b"))
     return pairs.select("campo", "voce_a", "voce_b", "k", "n_a", "n_b", "n", lift.alias("lift"))
 
@@ -164,10 +224,9 @@ def topic_rows(cards: DataFrame) -> DataFrame:
 
 def citation_rows(cards: DataFrame, parents: DataFrame) -> DataFrame:
     """campo 'norme', voci: ``act#art`` or ``act`` of the references whose target has any
-    row. parents: chiave, act, art."""
-    from cartulary.functions.links import link_key
-
+    row. parents: chiave, act, art; the references to a very frequent target are spread."""
     keys = F.transform("norme", lambda n: link_key(n["href"]))
-    refs = cards.select("scheda_id", F.explode(F.array_distinct(keys)).alias("chiave")).where("chiave IS NOT NULL")
+    refs = materialize(cards.select("scheda_id", F.explode(F.array_distinct(keys)).alias("chiave")).where("chiave IS NOT NULL"), "citazioni")
     items = parents.select("chiave", F.concat_ws("#", "act", "art").alias("voce"))
-    return refs.join(items, "chiave").groupBy("scheda_id").agg(F.collect_set("voce").alias("voci")).select(F.lit("norme").alias("campo"), "voci")
+    found = merge_join(refs, items, "chiave", F.col("scheda_id"), hot_keys(refs, "chiave")).where("voce IS NOT NULL")
+    return found.groupBy("scheda_id").agg(F.collect_set("voce").alias("voci")).select(F.lit("norme").alias("campo"), "voci")

@@ -73,11 +73,30 @@ def test_repetitive_texts(spark):
     check(spark, rows, 40, gram=40)
 
 
-def test_text_longer_than_a_piece(spark, monkeypatch):
+def test_text_longer_than_a_piece(monkeypatch):
+    """The windows of pieces hold every run that those of the whole text hold."""
+    import numpy as np
+
     from cartulary.llm import spans
 
-    monkeypatch.setattr(spans, "PIECE", 100)
-    check(spark, invented(5, 20, "abcdefgh", 240), 40)
+    rng = Random(5)
+    text = "".join(rng.choice("abcd") for _ in range(900))
+
+    def covered(piece):
+        monkeypatch.setattr(spans, "PIECE", piece)
+        found = set()
+        for group in spans._pieces([text, None, "abc"], 40):
+            for _, at, part in group:
+                codes = np.frombuffer(part.encode("utf-32-le"), "<u4")
+                _, c, h, before, after = spans.compact_windows(codes, np.array([0]), np.array([len(codes)]), 40, 12)
+                for i in range(len(c)):
+                    for s in range(c[i] - before[i], c[i] + after[i] - 39):
+                        found.add((at + s, at + int(c[i]), int(h[i])))
+        return found
+
+    whole = covered(1 << 19)
+    assert {s for s, _, _ in whole} == set(range(861))
+    assert covered(100) == whole
 
 
 def test_one_passage_in_many_records(spark):
