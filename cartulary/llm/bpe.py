@@ -13,6 +13,7 @@ of such a unit are kept in a bounded cache, since most units of a corpus occur a
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 import re
 
@@ -85,10 +86,10 @@ class _Units(dict):
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    def __init__(self, vocabulary: bytes) -> None:
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines()) if token}
         self.size = max(self.ranks.values()) + 1
+        self.queue = RankQueue(self.size)  # empty again after every pre-token
         self.words = regex.compile(PATTERN)
         self.first = _Units(lambda unit: b"".join(map(self.pieces.__getitem__, self.words.findall(unit))))
         self.later = _Units(lambda unit: b"".join(map(self.pieces.__getitem__, self.words.findall(" " + unit))))
@@ -106,7 +107,7 @@ class Encoder:
         end = list(range(1, n + 1))  # of the token that starts here
         before = list(range(-1, n - 1))
         wait = [-1] * n  # rank of the pair that starts here; -1: none
-        queue = RankQueue(self.size)
+        queue = self.queue
         for i in range(n - 1):
             rank = ranks.get(data[i : i + 2])
             if rank is not None:
@@ -146,11 +147,30 @@ class Encoder:
         return self.first[units[0]] + b"".join(map(self.later.__getitem__, units[1:]))
 
 
-_encoders: dict[str, Encoder] = {}
+def vocabulary(path: str = VOCABULARY) -> bytes:
+    """The vocabulary file, to be sent to the executors: they need no copy of their own."""
+    try:
+        with open(path, "rb") as file:
+            return file.read()
+    except OSError as missing:
+        raise FileNotFoundError(f"no vocabulary at {path}: set TOKENIZER_FILE or give the path") from missing
 
 
-def encoder(path: str = VOCABULARY) -> Encoder:
-    """The encoder of a vocabulary file, read once a process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+_encoders: dict[bytes, Encoder] = {}
+
+
+def encoder(data: bytes) -> Encoder:
+    """The encoder of a vocabulary, made once a process."""
+    key = hashlib.md5(data).digest()
+    if key not in _encoders:
+        _encoders[key] = Encoder(data)
+    return _encoders[key]
+
+
+def decoder(data: bytes) -> list[bytes]:
+    """The bytes of every id."""
+    ranks = encoder(data).ranks
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
