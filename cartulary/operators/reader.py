@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from cartulary.functions.links import link_key
 from cartulary.functions.values import leading_int
 from cartulary.operators.orphans import hot_keys, merge_join
+from cartulary.session import materialize
 
 #: The classes of the reader's markup.
 HEAD, ACT, VERSION, LABEL, HEADING, BODY, FOUND = "tip-head", "t-act", "t-ver", "t-label", "t-heading", "tip-body", "hl-par"
@@ -71,6 +72,7 @@ def article_content(links: DataFrame, acts: DataFrame, articles: DataFrame, frag
     head = _in("div", HEAD, F.concat(_in("span", ACT, F.coalesce("act_label", "act")), version, _in("div", LABEL, F.coalesce("label", F.lit(""))), heading))
     whole = whole.select(F.concat_ws("#", "act", "art").alias("k"), head.alias("head"), F.coalesce("frags", F.expr("array()")).alias("frags"), F.lit(True).alias("_there"))
     asked = links.where("act IS NOT NULL AND art IS NOT NULL").withColumn("k", F.concat_ws("#", "act", "art"))
+    asked = materialize(asked, "rinvii")  # read twice: hot keys, join
     found = merge_join(asked, whole, "k", F.struct(*asked.columns), hot_keys(asked, "k")).where("_there")
     body = _in("div", BODY, paragraph_text(F.col("frags"), leading_int(F.col("par")), full))
     return found.withColumn("body", body).drop("k", "frags", "_there")

@@ -45,6 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores: for work that costs far more
+    than moving its rows, over tables of a few files. Larger tables stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh place in the shared folder, removed at exit."""
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
