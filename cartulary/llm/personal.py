@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.labelled import sentences
 from cartulary.llm.tokens import texts
+from cartulary.session import spread
 
 EMAIL, PHONE, DOCUMENT, STREET, NAME = "EMAIL", "TELEFONO", "DOCUMENTO", "INDIRIZZO", "NOME"
 
@@ -344,7 +345,7 @@ def found_spans(rows: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(kinds, pa.string())], names=[key, "inizio", "fine", "tipo"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key), F.col(text)).where(F.col(text).isNotNull()).mapInArrow(run, f"{key} {kind}, inizio int, fine int, tipo string")
+    return spread(rows.select(F.col(key), F.col(text)).where(F.col(text).isNotNull())).mapInArrow(run, f"{key} {kind}, inizio int, fine int, tipo string")
 
 
 def masked_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -358,4 +359,4 @@ def masked_texts(rows: DataFrame, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[key, "testo"])
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, testo string")
+    return spread(rows.select(F.col(key), F.col(text))).mapInArrow(run, f"{key} {kind}, testo string")

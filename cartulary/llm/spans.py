@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from cartulary.llm.tokens import texts
 from cartulary.operators.orphans import hot_keys, merge_join
-from cartulary.session import materialize
+from cartulary.session import materialize, spread
 
 LEAST, GRAM = 160, 48
 
@@ -165,7 +165,7 @@ def windows(docs: DataFrame, key: str, text: str, least: int = LEAST, gram: int
                 place = (c - starts[i] + offset[i]) << 24 | before << 12 | after
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[rows[i]]), pa.array(place)], names=["h", key, "place"])
 
-    return docs.select(key, text).mapInArrow(run, f"h bigint, {key} bigint, place bigint")
+    return spread(docs.select(key, text)).mapInArrow(run, f"h bigint, {key} bigint, place bigint")
 
 
 _CUT = "h bigint, k bigint, pos bigint, l int, r int, s string, f string"

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.llm.bpe import VOCABULARY, decoder, encoder, vocabulary
+from cartulary.session import spread
 
 #: Rows and bytes of text handled at a time.
 ROWS, BYTES = 2000, 1 << 24
@@ -51,7 +52,7 @@ def token_ids(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, ids array<int>")
+    return spread(docs.select(F.col(key), F.col(text))).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
 def token_counts(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
@@ -66,7 +67,7 @@ def token_counts(docs: DataFrame, key: str, text: str, path: str = VOCABULARY) -
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], names=[key, "n"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"{key} {kind}, n bigint")
+    return spread(docs.select(F.col(key), F.col(text))).mapInArrow(run, f"{key} {kind}, n bigint")
 
 
 def token_texts(rows: DataFrame, key: str, ids: str, path: str = VOCABULARY) -> DataFrame:
