@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartulary.functions.links import link_key
-from cartulary.session import materialize
+from cartulary.session import materialize, spread
 
 #: A key with at least one in HOT_SHARE of all references is spread over SALTS partitions;
 #: at most HOT_SHARE keys can be that frequent, so the list sent to the driver is bounded.
@@ -78,6 +78,7 @@ def card_references(cards: DataFrame, tabella: str) -> DataFrame:
     """One row an entry of ``norme``: tabella, scheda_id, posizione, caricata_il, chiave
     (``file#anchor``, null where the entry is no reference)."""
     keys = F.transform("norme", lambda n: link_key(n["href"]))  # inside the generator: a filter on it is not pushed below and computed twice
+    cards = spread(cards.select("scheda_id", "caricata_il", "norme"))
     return cards.select(F.lit(tabella).alias("tabella"), "scheda_id", "caricata_il", F.posexplode(keys).alias("posizione", "chiave"))
 
 

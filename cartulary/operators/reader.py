@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cartulary.functions.links import link_key
 from cartulary.functions.values import leading_int
 from cartulary.operators.orphans import hot_keys, merge_join
-from cartulary.session import materialize
+from cartulary.session import materialize, spread
 
 #: The classes of the reader's markup.
 HEAD, ACT, VERSION, LABEL, HEADING, BODY, FOUND = "tip-head", "t-act", "t-ver", "t-label", "t-heading", "tip-body", "hl-par"
@@ -27,7 +27,7 @@ def card_links(cards: DataFrame, parents: DataFrame) -> DataFrame:
     """scheda_id, posizione, act, art, par of the references in ``norme``; par is what the
     label names as paragraph, as text. ``parents``: chiave, act, art."""
     par = F.regexp_extract(F.col("n.label"), r"co\. ?([0-9]+(?:-[a-z]+)?)", 1)
-    rows = cards.select("scheda_id", F.posexplode("norme").alias("posizione", "n")).select("scheda_id", "posizione", F.nullif(par, F.lit("")).alias("par"), link_key(F.col("n.href")).alias("chiave"))
+    rows = spread(cards.select("scheda_id", "norme")).select("scheda_id", F.posexplode("norme").alias("posizione", "n")).select("scheda_id", "posizione", F.nullif(par, F.lit("")).alias("par"), link_key(F.col("n.href")).alias("chiave"))
     return rows.where("chiave IS NOT NULL").join(parents.select("chiave", "act", "art"), "chiave").drop("chiave")
 
 
