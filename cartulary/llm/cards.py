@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.session import materialize
+from cartulary.session import materialize, spread
 
 #: Bits kept of a token's hash: sums of 2**22 tokens stay inside 63 bits.
 _MASK = (1 << 41) - 1
@@ -56,7 +56,7 @@ def fingerprints(cards: DataFrame) -> DataFrame:
     """scheda_id, corte, numero, date, the token arrays tc, tn and the fingerprint h1, h2 over
     court, number and date of the cards that have all three; the others have no counterpart."""
     whole = F.col("date").isNotNull() & present(F.col("corte")) & present(F.col("numero"))
-    cards = cards.select("scheda_id", "date", "corte", "numero").where(whole)
+    cards = spread(cards.select("scheda_id", "date", "corte", "numero").where(whole))
     cards = cards.withColumns({"tc": tokens(F.col("corte")), "tn": tokens(F.col("numero"))})
     fields = {"corte": F.col("tc"), "numero": F.col("tn"), "date": F.array(F.col("date").cast("string"))}
     return cards.withColumns({"h1": multiset_hash(fields, 1), "h2": multiset_hash(fields, 2)})

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cartulary.functions.links import link_key
 from cartulary.operators.orphans import hot_keys, merge_join
-from cartulary.session import materialize
+from cartulary.session import materialize, spread
 
 #: Bound of the number of heavy items a field.
 HEAVY = 512
@@ -226,7 +226,7 @@ def citation_rows(cards: DataFrame, parents: DataFrame) -> DataFrame:
     """campo 'norme', voci: ``act#art`` or ``act`` of the references whose target has any
     row. parents: chiave, act, art; the references to a very frequent target are spread."""
     keys = F.transform("norme", lambda n: link_key(n["href"]))
-    refs = materialize(cards.select("scheda_id", F.explode(F.array_distinct(keys)).alias("chiave")).where("chiave IS NOT NULL"), "citazioni")
+    refs = materialize(spread(cards.select("scheda_id", "norme")).select("scheda_id", F.explode(F.array_distinct(keys)).alias("chiave")).where("chiave IS NOT NULL"), "citazioni")
     items = parents.select("chiave", F.concat_ws("#", "act", "art").alias("voce"))
     found = merge_join(refs, items, "chiave", F.col("scheda_id"), hot_keys(refs, "chiave")).where("voce IS NOT NULL")
     return found.groupBy("scheda_id").agg(F.collect_set("voce").alias("voci")).select(F.lit("norme").alias("campo"), "voci")
