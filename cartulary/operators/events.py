@@ -39,11 +39,21 @@ def last_rows(events: DataFrame, user: str, order: list[str], n: int = 30) -> Da
     return events.withColumn("posto", F.row_number().over(w)).where(F.col("posto") <= n)
 
 
-def undisturbed(events: DataFrame, user: str, time: str, order: list[str], wait: str) -> DataFrame:
+def undisturbed(events: DataFrame, user: str, time: str, order: list[str], wait: str, step: str = "day") -> DataFrame:
     """T4: the events after which nothing happened for ``wait`` (an interval): what a delayed
-    action that any new event cancels would act on."""
-    after = F.lead(time).over(Window.partitionBy(user).orderBy(*order))
-    return events.withColumn("_dopo", after).where(F.col("_dopo").isNull() | (F.col("_dopo") > F.col(time) + F.expr(f"INTERVAL {wait}"))).drop("_dopo")
+    action that any new event cancels would act on.
+
+    The next event is sought within the user's ``step`` of time; only the last event of a step
+    looks at the first of the user's next one, so that a user with a third of all events is
+    many tasks. ``order`` begins with the time."""
+    rows = events.withColumn("_passo", F.date_trunc(step, F.col(time)))
+    firsts = rows.groupBy(user, "_passo").agg(F.min(time).alias("_primo"))
+    later = F.lead("_primo").over(Window.partitionBy(user).orderBy("_passo"))  # one row a step
+    firsts = firsts.select(user, "_passo", later.alias("_prossimo"))
+    own = F.lead(time).over(Window.partitionBy(user, "_passo").orderBy(*order))
+    rows = rows.withColumn("_dopo", own)
+    rows = rows.join(firsts, (rows[user].eqNullSafe(firsts[user])) & (rows["_passo"].eqNullSafe(firsts["_passo"])), "left").select(*(rows[c] for c in events.columns), F.coalesce("_dopo", "_prossimo").alias("_dopo"))
+    return rows.where(F.col("_dopo").isNull() | (F.col("_dopo") > F.col(time) + F.expr(f"INTERVAL {wait}"))).drop("_dopo")
 
 
 def debounced(events: DataFrame, user: str, time: str, order: list[str], gap: str) -> DataFrame:

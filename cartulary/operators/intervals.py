@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str]) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], time: str, values: list[str], step: Callable[[Column], Column] | None = None) -> DataFrame:
     """Every row of ``left`` with ``values`` of the last row of ``right`` of the same keys at
     or before its time; null where there is none. Both are put into one sorted stream, over
     which the last values are carried on; rows of ``right`` with equal times: the greatest
-    values count. Null keys or times match nothing."""
-    own = left.select(F.struct(*left.columns).alias("_l"), *keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values)).dtypes[0][1]).alias("_v"))
+    values count. Null keys or times match nothing.
+
+    ``step`` cuts the time (the day of a time, say): the stream of a key is then one of each
+    of its steps, and what a step begins with is the last value of the steps before, of which
+    there is one row each; a key with a third of all rows is many tasks."""
+    whole = F.lit(0)
+    kind = right.select(F.struct(*values)).dtypes[0][1]
+    cut = (lambda: step(F.col("_t"))) if step else (lambda: whole)
+    own = left.select(F.struct(*left.columns).alias("_l"), *keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_v"))
     other = right.where(F.col(time).isNotNull()).groupBy(*keys, F.col(time).alias("_t")).agg(F.max(F.struct(*values)).alias("_v"))
     other = other.select(F.lit(None).cast(own.dtypes[0][1]).alias("_l"), *keys, "_t", F.lit(0).alias("_side"), "_v")
-    w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = own.unionByName(other).withColumn("_p", cut())
+    w = Window.partitionBy(*keys, "_p").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     known = F.last("_v", ignorenulls=True).over(w)
+    if step:
+        ends = other.withColumn("_p", cut()).groupBy(*keys, "_p").agg(F.max_by("_v", "_t").alias("_u"))
+        steps = rows.select(*keys, "_p").distinct().join(ends, [*keys, "_p"], "left")
+        before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        steps = steps.withColumn("_u", F.last("_u", ignorenulls=True).over(before))
+        rows = rows.withColumn("_k", known).join(steps, [*keys, "_p"], "left")
+        known = F.coalesce("_k", "_u")
     usable = F.col("_t").isNotNull()
     for k in keys:
         usable = usable & F.col(k).isNotNull()
-    joined = own.unionByName(other).select("_l", "_side", F.when(usable, known).alias("_v")).where("_side = 1")
+    joined = rows.select("_l", "_side", F.when(usable, known).alias("_v")).where("_side = 1")
     return joined.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 

@@ -69,7 +69,7 @@ def as_of_join(spark, sf_dir):
     """The last view of the user at or before each purchase."""
     e = table(spark, sf_dir, "events")
     views = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("prima"))
-    return intervals.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", ["prima"]).select("event_id", "prima")
+    return intervals.as_of(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), views, ["user_id"], "ts", ["prima"], lambda t: F.date_trunc("day", t)).select("event_id", "prima")
 
 
 @register("ext_range_join", "SELECT event_id, p.fascia FROM events JOIN (SELECT p_size AS fascia, CAST(p_size AS DOUBLE) AS low, p_size + 1.5::DOUBLE AS high FROM part GROUP BY p_size) p ON value >= low AND value < high")

@@ -119,12 +119,27 @@ def test_joins_on_order(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 5), (None, 5), ("a", None)], "k string, t int")
     right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 5, "z"), ("c", 1, "w")], "k string, t int, v string")
     assert sorted(((r.k, r.t, r.v) for r in as_of(left, right, ["k"], "t", ["v"]).collect()), key=str) == sorted([("a", 5, "z"), ("a", 1, None), ("b", 5, None), (None, 5, None), ("a", None, None)], key=str)
+    cut = as_of(left, right, ["k"], "t", ["v"], lambda t: F.floor(t / 2))
+    assert sorted(((r.k, r.t, r.v) for r in cut.collect()), key=str) == sorted([("a", 5, "z"), ("a", 1, None), ("b", 5, None), (None, 5, None), ("a", None, None)], key=str)
+    late = spark.createDataFrame([("a", 40), ("c", 90)], "k string, t int")
+    assert sorted((r.k, r.v) for r in as_of(late, right, ["k"], "t", ["v"], lambda t: F.floor(t / 2)).collect()) == [("a", "z"), ("c", "w")]
     points, bands = spark.createDataFrame([(1.0,), (2.5,), (None,)], "p double"), spark.createDataFrame([(1.0, 2.5), (0.0, 10.0), (3.0, 3.0)], "lo double, hi double")
     assert sorted((r.p, r.hi) for r in range_join(points, bands, F.col("p"), F.col("lo"), F.col("hi"), 2.0).collect()) == [(1.0, 2.5), (1.0, 10.0), (2.5, 10.0)]
     spans = spark.createDataFrame([("k", 1, 0.0, 9.0), ("k", 2, 4.0, 5.0), ("k", 3, 5.0, 6.0)], "k string, i int, da double, a double")
     assert sorted((r.i, r.j) for r in overlaps(spans, spans, ["k"], 2.0).where("x.i < y.i").select(F.col("x.i").alias("i"), F.col("y.i").alias("j")).collect()) == [(1, 2), (1, 3)]
 
 
+def test_undisturbed(spark):
+    from datetime import datetime
+
+    from cartulary.operators.events import undisturbed
+
+    at = lambda d, h: datetime(2024, 1, d, h)
+    rows = [("u", 1, at(1, 10)), ("u", 2, at(1, 11)), ("u", 3, at(1, 23)), ("u", 4, at(2, 0)), ("u", 5, at(9, 5)), ("v", 6, at(1, 1)), (None, 7, at(1, 1)), (None, 8, at(1, 2)), ("u", 9, at(9, 5))]
+    events = spark.createDataFrame(rows, "u string, i int, t timestamp_ntz")
+    assert sorted(r.i for r in undisturbed(events, "u", "t", ["t", "i"], "2 HOURS").collect()) == [2, 4, 6, 8, 9]
+
+
 def test_places_in_order(spark):
     from cartulary.operators.ordering import in_order
 

@@ -60,3 +60,33 @@ def test_no_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_orphans_of_odd_tables(spark):
+    """Null and empty lists, null fields, parents without file or anchor, clashing columns,
+    repeated rows, empty tables."""
+    from cartulary.operators.orphans import act_parents, card_references, orphan_references
+
+    day = datetime(2024, 1, 6)
+    norme = "array<struct<label:string,href:string>>"
+    cards = spark.createDataFrame([(1, None, day, "k", 1), (2, [], day, None, 2), (3, [("l", None), ("l", "/patto-interattivo/a.html"), None, ("l", "patto-interattivo/" + "x" * 50_000)], None, "", 3), (3, [("l", None), ("l", "/patto-interattivo/a.html"), None, ("l", "patto-interattivo/" + "x" * 50_000)], None, "", 3)], f"scheda_id bigint, norme {norme}, caricata_il timestamp_ntz, chiave string, atto int")
+    atti = spark.createDataFrame([("a", "a.html", day, None, "z"), (None, "b.html", day, None, "z"), ("c", None, day, None, "z")], "act string, file string, caricato_il timestamp_ntz, rimosso_il timestamp_ntz, chiave string")
+    articoli = spark.createDataFrame([("a", "1", None, day, None), ("c", "1", "art_1", day, None)], "act string, art string, anchor string, caricato_il timestamp_ntz, rimosso_il timestamp_ntz")
+    refs, parents = card_references(cards, "t"), act_parents(atti, articoli)
+    assert [r.chiave for r in parents.collect()] == ["a.html#"]
+    got = sorted((r.scheda_id, r.posizione, r.stato) for r in orphan_references(refs, parents, "chiave", "caricata_il", F.struct("scheda_id", "posizione"), ["atto", "articolo"]).collect())
+    assert got == [(3, 1, "senza data")] * 2 + [(3, 3, "senza data")] * 2
+    none = card_references(cards.where("scheda_id > 9"), "t")
+    assert orphan_references(none, act_parents(atti.where("act = 'q'"), articoli), "chiave", "caricata_il", F.col("scheda_id"), ["atto", "articolo"]).count() == 0
+
+
+def test_hot_keys_are_spread(spark):
+    """One key with most of the rows: found as hot, and the join gives every row."""
+    from cartulary.operators.orphans import hot_keys, merge_join
+
+    refs = spark.range(3000).selectExpr("id", "CASE WHEN id % 3 > 0 THEN 'caldo' ELSE concat('k', id) END AS k")
+    parents = spark.createDataFrame([("caldo", 1), ("k0", 2)], "k string, v int")
+    hot = hot_keys(refs, "k")
+    assert hot == ["caldo"]
+    joined = merge_join(refs, parents, "k", F.col("id"), hot)
+    assert joined.count() == 3000 and joined.where("v = 1").count() == 2000 and joined.where("v = 2").count() == 1
