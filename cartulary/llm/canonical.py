@@ -79,7 +79,8 @@ def corrected(words: DataFrame, known: DataFrame) -> DataFrame:
     segments = segments.select("campo", "r", "canon", "k", F.col("cut.at").alias("at"), F.expr("substring(r, cut.at + 1, cut.len)").alias("seg"))
     sizes = F.expr("sequence(1, least(6, length(w)))")
     parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(0), F.length("w") - n), lambda s: F.struct(s.cast("int").alias("s"), F.substring(F.col("w"), s + 1, n).alias("seg")))))
-    probes = words.where("length(w) >= 3").select("campo", "w", F.explode(parts).alias("p")).select("campo", "w", "p.s", "p.seg")
+    longest = known.agg(F.max(F.length("r"))).first()[0] or 0  # a longer word is near none
+    probes = words.where(F.length("w").between(3, longest + 3)).select("campo", "w", F.explode(parts).alias("p")).select("campo", "w", "p.s", "p.seg")
     near = (F.abs(F.col("s") - F.col("at")) <= k) & (F.abs(F.length("w") - F.length("r")) <= k)
     pairs = probes.join(segments, ["campo", "seg"]).where(near).select("campo", "w", "r", "canon", "k").distinct()
     # a third edit counts only where two of the three are letters that changed places
@@ -136,6 +137,7 @@ def free_values(tables: dict[str, DataFrame], fields: list[tuple[str, str]], key
 def found_values(rows: DataFrame, voci: DataFrame, key: str) -> DataFrame:
     """tabella, campo, key, voce_id of every value of ``rows`` that is not blank and not a
     name of its field as the list writes it."""
+    rows = rows.select("tabella", "campo", key, "valore")
     names = voci.select("campo", F.col("nome").alias("valore")).distinct()
     free = rows.join(names, ["campo", "valore"], "left_anti")
     return free.join(mapped(free.select("campo", "valore"), voci), ["campo", "valore"]).select("tabella", "campo", key, "voce_id").distinct()

@@ -51,6 +51,19 @@ def test_found_leaves_names_out(spark):
     assert sorted(map(tuple, found_values(rows, voci, "scheda_id").collect())) == [("g", "tipo", 2, 5), ("g", "tipo", 5, 0), ("g", "tipo", 6, 5)]
 
 
+def test_odd_tables(spark):
+    """No list, no values, very long values, clashing columns, repeated rows."""
+    from cartulary.llm.canonical import found_values, mapped
+
+    voci = spark.createDataFrame(VOCI, "voce_id bigint, campo string, nome string, sigla string")
+    long = "Tribunale di " + "parola " * 5000
+    rows = [("g", "corte", 1, long, 5, "a"), ("g", "corte", 2, "x" * 40_000, 5, "a"), ("g", "corte", 3, "Giudice di pace Testarolo", 5, "a"), ("g", "corte", 3, "Giudice di pace Testarolo", 5, "a")]
+    rows = spark.createDataFrame(rows, "tabella string, campo string, scheda_id bigint, valore string, voce_id int, x string")
+    assert sorted(tuple(r) for r in found_values(rows, voci, "scheda_id").collect()) == [("g", "corte", 1, 0), ("g", "corte", 2, 0), ("g", "corte", 3, 4)]
+    assert {r.voce_id for r in mapped(rows.select("campo", "valore"), voci.where("voce_id > 99")).collect()} == {0}
+    assert found_values(rows.where("scheda_id > 9"), voci, "scheda_id").count() == 0
+
+
 def test_registered():
     import __spark_entry__
 
