@@ -47,7 +47,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores: for work that costs far more
-    than moving its rows, over tables of a few files. Larger tables stay where they are."""
+    than moving its rows, over tables of a few files. Larger tables stay where they are, and
+    so does what comes out of a shuffle."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 

@@ -168,3 +168,14 @@ def test_cross_references_and_marks(spark):
     nested = bundles.read_bundles(spark.createDataFrame([("k/data.js", source), ("k/altro.js", "nulla")], "path string, value string"))
     assert [(r.art, r.pos, r.par, r.html) for r in bundles.fragments_of(nested).orderBy("pos").collect()] == [("5-bis", 0, 1, "x"), ("5-bis", 1, None, "y")]
     assert [(r.n, r.html) for r in bundles.recitals_of(nested).collect()] == [("1", "r")]
+
+
+def test_spread(spark):
+    from cartulary.session import spread
+
+    few = spark.range(0, 10, 1, 1)
+    assert spread(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    many = spark.range(0, 10, 1, 64)
+    assert spread(many) is many
+    grouped = many.groupBy("id").count()
+    assert spread(grouped) is grouped
