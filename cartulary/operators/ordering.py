@@ -21,8 +21,9 @@ def in_order(rows: DataFrame, keys: list[Column | str], place: str = "posto") ->
     spread = materialize(spread, "ordine")
     sizes = {r["_p"]: r["n"] for r in spread.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, at = [], 0
-    for p in range(max(sizes, default=0) + 1):
-        before.append(at)
-        at += sizes.get(p, 0)
-    offset = F.element_at(F.array(*map(F.lit, before)), F.col("_p") + 1)
-    return spread.withColumn(place, (offset + F.col("_i") + 1).cast("int")).drop("_p", "_i")
+    for p in sorted(sizes):
+        before.append((p, at))
+        at += sizes[p]
+    offsets = spread.sparkSession.createDataFrame(before, "_p int, _da bigint")
+    kind = "int" if at < 2**31 else "bigint"
+    return spread.join(offsets, "_p").withColumn(place, (F.col("_da") + F.col("_i") + 1).cast(kind)).drop("_p", "_i", "_da")

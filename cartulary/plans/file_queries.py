@@ -173,9 +173,9 @@ def s14(spark, sf_dir):
     write_files(spark.createDataFrame([("content-it.json", '{"titolo": "italiano"}'), ("content-en.json", '{"titolo": "english"}')], "path string, content string"), root)
     stored = files.whole_texts(spark, root, "content-*.json")
     stored = stored.select(F.regexp_extract("path", r"content-(\w+)\.json", 1).alias("lingua"), values.parsed(F.col("value"), "titolo string")["titolo"].alias("titolo"))
-    home = stored.where("lingua = 'it'").select(F.col("titolo").alias("di_casa"))
+    home = stored.where("lingua = 'it'").agg(F.first("titolo")).first()[0]
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("lang").alias("lingua")).join(stored, "lingua", "left")
-    return docs.join(home, F.lit(True), "left").select("doc_id", F.coalesce("titolo", "di_casa").alias("contenuto"))
+    return docs.select("doc_id", F.coalesce("titolo", F.lit(home)).alias("contenuto"))
 
 
 @register("s16_tags_by_class", "SELECT bundle, act, art, pos, CAST(len(regexp_extract_all(html, '<p class=\"[^\"]*comma[^\"]*\"')) AS INTEGER) AS commi, CAST(len(regexp_extract_all(html, '<[a-z]+[ >]')) AS INTEGER) AS elementi FROM frammenti")

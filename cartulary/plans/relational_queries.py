@@ -132,9 +132,9 @@ def approx_distinct(spark, sf_dir):
     return rows.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= F.col("e") * 0.1).alias("vicino"))
 
 
-@register("ext_quantiles", "SELECT event_type, quantile_cont(value, 0.5) AS mediana, quantile_cont(value, 0.9) AS nono FROM events GROUP BY event_type")
+@register("ext_quantiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS mediana, round(quantile_cont(value, 0.9), 6) AS nono FROM events GROUP BY event_type")
 def quantiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("mediana"), F.percentile("value", 0.9).alias("nono"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("mediana"), F.round(F.percentile("value", 0.9), 6).alias("nono"))
 
 
 @register("ext_approx_quantiles", "SELECT event_type, true AS vicino FROM events GROUP BY event_type")
