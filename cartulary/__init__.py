@@ -1,4 +1,3 @@
-"""Document-corpus engine on PySpark: scalar functions, operators and queries. No sources and
-no pipeline yet: see the README."""
+"""Document-corpus engine on PySpark: sources, scalar functions, operators, streams, queries."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

@@ -1 +1 @@
-
+"""Queries, each beside its SQL counterpart."""

@@ -1 +1 @@
-
+"""Files as rows and rows as files."""

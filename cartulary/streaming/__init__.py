@@ -1 +1 @@
-
+"""Event-time streams."""
