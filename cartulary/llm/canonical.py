@@ -66,7 +66,7 @@ def _words(x: Column) -> Column:
 def edits(word: Column) -> Column:
     """Edits allowed within a list word, by its length."""
     n = F.length(word)
-    return F.when(n >= 8, 3).when(n >= 5, 2).when(n == 4, 1).otherwise(0)
+    return F.when(n >= 7, 3).when(n >= 5, 2).when(n == 4, 1).otherwise(0)
 
 
 def corrected(words: DataFrame, known: DataFrame) -> DataFrame:
@@ -86,6 +86,11 @@ def corrected(words: DataFrame, known: DataFrame) -> DataFrame:
     # a third edit counts only where two of the three are letters that changed places
     letters = lambda x, y: F.size(F.array_except(F.split(x, ""), F.split(y, "")))
     pairs = pairs.withColumn("d", F.levenshtein("w", "r")).where((F.col("d") <= F.col("k")) & ((F.col("d") < 3) | (letters("w", "r") + letters("r", "w") <= 2)))
+    # two pairs of letters that changed places are four edits, but the same letters
+    ordered = lambda x: F.array_join(F.array_sort(F.split(x, "")), "")
+    same = known.where(F.length("r") >= 8).withColumn("lettere", ordered("r")).join(words.withColumn("lettere", ordered("w")), ["campo", "lettere"])
+    same = same.withColumn("d", F.levenshtein("w", "r")).where("d = 4").select("campo", "w", "r", "canon", F.lit(4).alias("k"), "d")
+    pairs = pairs.select("campo", "w", "r", "canon", "k", "d").unionByName(same.distinct())
     near_by = pairs.groupBy("campo", "w").agg(F.min("d").alias("d"), F.collect_set(F.struct("d", "canon")).alias("all"))
     return near_by.select("campo", "w", F.array_distinct(F.expr("transform(filter(all, a -> a.d = d), a -> a.canon)")).alias("canoni"))
 

@@ -69,11 +69,12 @@ listed AS (
   FROM (SELECT campo, voce_id, forma, unnest(regexp_extract_all({_plain('y')}, '[a-z0-9]+')) AS w FROM (SELECT campo, voce_id, 0 AS forma, nome AS y FROM voci UNION ALL SELECT campo, voce_id, 1, sigla FROM voci WHERE sigla IS NOT NULL)) l LEFT JOIN fixed USING (campo, w)),
 own AS (SELECT campo, w, canon FROM listed UNION SELECT campo, w, canon FROM fixed),
 near AS (
-  SELECT s.campo, s.w, canon, levenshtein(s.w, r.w) AS d, CASE WHEN length(r.w) >= 8 THEN 3 WHEN length(r.w) >= 5 THEN 2 WHEN length(r.w) = 4 THEN 1 ELSE 0 END AS k,
+  SELECT s.campo, s.w, canon, levenshtein(s.w, r.w) AS d, CASE WHEN length(r.w) >= 7 THEN 3 WHEN length(r.w) >= 5 THEN 2 WHEN length(r.w) = 4 THEN 1 ELSE 0 END AS k,
+    length(r.w) >= 8 AND list_sort(string_split(s.w, '')) = list_sort(string_split(r.w, '')) AS stesse,
     (SELECT count(DISTINCT c) FROM unnest(string_split(s.w, '')) t(c) WHERE NOT contains(r.w, c)) + (SELECT count(DISTINCT c) FROM unnest(string_split(r.w, '')) t(c) WHERE NOT contains(s.w, c)) AS altre
   FROM (SELECT DISTINCT campo, w FROM tok ANTI JOIN own USING (campo, w)) s JOIN own r ON r.campo = s.campo AND abs(length(s.w) - length(r.w)) <= 3 AND NOT regexp_matches(r.w, '[0-9]')
-  WHERE length(s.w) >= 3 AND levenshtein(s.w, r.w) <= 3),
-good AS (SELECT *, min(d) OVER (PARTITION BY campo, w) AS m FROM near WHERE d <= k AND (d < 3 OR altre <= 2)),
+  WHERE length(s.w) >= 3 AND levenshtein(s.w, r.w) <= 4),
+good AS (SELECT *, min(d) OVER (PARTITION BY campo, w) AS m FROM near WHERE (d <= k AND (d < 3 OR altre <= 2)) OR (d = 4 AND stesse)),
 canon AS (SELECT campo, w, list(DISTINCT canon) AS canoni FROM good WHERE d = m GROUP BY ALL UNION ALL SELECT campo, w, list(DISTINCT canon) FROM own GROUP BY ALL),
 entries AS (SELECT campo, chiave, min(voce_id) AS voce_id FROM (SELECT campo, voce_id, forma, string_agg(DISTINCT canon, ' ' ORDER BY canon) AS chiave FROM listed WHERE canon <> '' GROUP BY ALL) GROUP BY ALL),
 parts AS (SELECT campo, x, lettura, list(DISTINCT coalesce(canoni, [w])) AS parti FROM tok LEFT JOIN canon USING (campo, w) WHERE NOT list_contains(coalesce(canoni, [w]), '') GROUP BY ALL),

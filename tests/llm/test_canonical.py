@@ -21,6 +21,7 @@ MEANT = {
     ("corte", "Tribunale di Altrovello, I Sez. civile"): 0,
     ("corte", "Tribunale di Rpvoanico, I Sez. civile"): 1,  # three edits, two of them letters that changed places
     ("corte", "Tribunale di Probandico, I Sez. civile"): 1,
+    ("corte", "Tribunale di Porvainco, I Sez. civile"): 1,  # two pairs of letters that changed places
     ("corte", "Tribunale di Plobendico, I Sez. civile"): 0,  # as many edits, of other letters
     ("corte", "Corte d'Appello di Testarolo"): 0,
     ("corte", "???"): 0,
