@@ -38,6 +38,9 @@ SITE = Site()
 #: The outcomes of a rewrite.
 OUTCOMES = ["iniettato", "aggiornato", "gia_ok", "noindex", "skip"]
 
+#: What stands for a missing kind of circular and for a missing label of its file.
+KIND, FILE_LABEL = "Circolare", "Scarica il documento (PDF)"
+
 _TITLE = r"(?is)<title>(.*?)</title>"
 
 

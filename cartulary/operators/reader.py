@@ -18,6 +18,9 @@ from cartulary.session import materialize, spread
 #: The classes of the reader's markup.
 HEAD, ACT, VERSION, LABEL, HEADING, BODY, FOUND = "tip-head", "t-act", "t-ver", "t-label", "t-heading", "tip-body", "hl-par"
 
+#: What the reader shows for a recital, for an act as a whole, for a page without a name.
+RECITAL, OUTSIDE, OPENS, WHOLE, PREVIOUS = "Considerando (", "Atto esterno — ", ". Clic per aprire.", "Clic per aprire il testo completo.", "pagina precedente"
+
 
 def _in(tag: str, kind: str, x: Column) -> Column:
     return F.concat(F.lit(f'<{tag} class="{kind}">'), x, F.lit(f"</{tag}>"))
@@ -87,14 +90,14 @@ def recitals(fragments: DataFrame) -> DataFrame:
 
 def recital_content(links: DataFrame, acts: DataFrame, known: DataFrame) -> DataFrame:
     """Head and body of the recital (act, rct) of each link; none for a missing one."""
-    head = _in("div", HEAD, F.concat(_in("span", ACT, F.coalesce("label", "act")), _in("div", LABEL, F.concat(F.lit("Considerando ("), F.col("n"), F.lit(")")))))
+    head = _in("div", HEAD, F.concat(_in("span", ACT, F.coalesce("label", "act")), _in("div", LABEL, F.concat(F.lit(RECITAL), F.col("n"), F.lit(")")))))
     rows = links.join(known, (links["act"] == known["act"]) & (links["rct"] == known["n"])).drop(known["act"])
     return rows.join(acts.select("act", "label"), "act").select(*links.columns, head.alias("head"), _in("div", BODY, F.coalesce("html", F.lit(""))).alias("body"))
 
 
 def act_note(external: Column, version: Column) -> Column:
     """What a link to a whole act shows."""
-    return F.when(external, F.concat(F.lit("Atto esterno — "), F.coalesce(version, F.lit("")), F.lit(". Clic per aprire."))).otherwise("Clic per aprire il testo completo.")
+    return F.when(external, F.concat(F.lit(OUTSIDE), F.coalesce(version, F.lit("")), F.lit(OPENS))).otherwise(WHOLE)
 
 
 def crumb_label(short: Column, act: Column, art: Column, rct: Column, par: Column) -> Column:
@@ -104,7 +107,7 @@ def crumb_label(short: Column, act: Column, art: Column, rct: Column, par: Colum
     return F.when(rct.isNotNull(), F.concat(name, F.lit(" · cons. "), rct)).otherwise(article)
 
 
-def page_label(short: Column, title: Column, fallback: str = "pagina precedente") -> Column:
+def page_label(short: Column, title: Column, fallback: str = PREVIOUS) -> Column:
     """P20: the act's short name, the title up to its dash, a fixed text."""
     return F.coalesce(short, F.nullif(F.trim(F.substring_index(title, "—", 1)), F.lit("")), F.lit(fallback))
 

@@ -98,7 +98,7 @@ def prj9(spark, sf_dir):
 
 @register("prj10_defaults", "SELECT scheda_id, coalesce(nullif(tipo, ''), 'Circolare') AS tipo, coalesce(nullif(pdflabel, ''), 'Scarica il documento (PDF)') AS etichetta FROM circolari")
 def prj10(spark, sf_dir):
-    return _circulars(spark, sf_dir).select("scheda_id", text.default(F.col("tipo"), F.lit("Circolare")).alias("tipo"), text.default(F.col("pdflabel"), F.lit("Scarica il documento (PDF)")).alias("etichetta"))
+    return _circulars(spark, sf_dir).select("scheda_id", text.default(F.col("tipo"), F.lit(pages.KIND)).alias("tipo"), text.default(F.col("pdflabel"), F.lit(pages.FILE_LABEL)).alias("etichetta"))
 
 
 @register("f7_archive_or_notice", "SELECT CASE WHEN count(*) > 0 THEN count(*) || ' schede' ELSE 'nessuna scheda' END AS riga, 'piena' AS caso FROM circolari UNION ALL SELECT 'nessuna scheda', 'vuota'")
