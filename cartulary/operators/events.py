@@ -7,6 +7,8 @@ never holds a user's events at once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,21 +17,47 @@ def _running(user: list, *order) -> Window:
     return Window.partitionBy(*user).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def stacked(events: DataFrame, user: str, order: list[str], step: Column, entry: Column) -> DataFrame:
+def stacked(events: DataFrame, user: str, order: list[str], step: Column, entry: Column, cut: Callable[[Column], Column] | None = None) -> DataFrame:
     """``profondita`` and ``cima`` of the user's stack after each event.
 
     ``step`` is 1 for a push of ``entry``, -1 for a pop (of an empty stack: nothing), 0 for
     none, null for closing the stack. After a pop the top is the last entry pushed to the
     depth that is left, so no stack has to be kept: depth is a running sum above its running
-    minimum, the top the last push to a depth."""
-    closes = step.isNull()
-    rows = events.withColumn("_s", F.coalesce(step, F.lit(0))).withColumn("_e", entry)
-    rows = rows.withColumn("_giro", F.count_if(closes).over(_running([user], *order)))
-    w = _running([user, "_giro"], *order)
-    rows = rows.withColumn("_sum", F.sum("_s").over(w))
-    rows = rows.withColumn("profondita", (F.col("_sum") - F.least(F.min("_sum").over(w), F.lit(0))).cast("int"))
-    top = F.last(F.when(F.col("_s") == 1, F.col("_e")), ignorenulls=True).over(_running([user, "_giro", "profondita"], *order))
-    return rows.withColumn("cima", F.when(F.col("profondita") > 0, top)).drop("_s", "_e", "_giro", "_sum")
+    minimum, the top the last push to a depth.
+
+    ``cut`` splits the first column of ``order`` (the day of a time, say). Sums, minima and
+    tops are then taken within a user's part; what a part begins with comes from its
+    predecessors' sums, one row each, so that a user with a third of all events is many
+    tasks. Without it all of a user is one part."""
+    part = cut(F.col(order[0])) if cut else F.lit(0)
+    rows = events.withColumns({"_s": F.coalesce(step, F.lit(0)), "_c": step.isNull(), "_e": entry, "_p": part})
+    rows = rows.withColumn("_g", F.count_if("_c").over(_running([user, "_p"], *order)))
+    w = _running([user, "_p", "_g"], *order)
+    rows = rows.withColumn("_t", F.sum("_s").over(w)).withColumn("_m", F.least(F.min("_t").over(w), F.lit(0)))
+    # what each part leaves behind: its closings, and sum and minimum of its last stretch
+    ends = rows.groupBy(user, "_p", "_g").agg(F.sum("_s").alias("_v"), F.min("_m").alias("_n"))
+    ends = ends.groupBy(user, "_p").agg(F.max("_g").alias("_x"), F.max_by(F.struct("_v", "_n"), "_g").alias("_z")).select(user, "_p", "_x", "_z.*")
+    u = Window.partitionBy(user).orderBy("_p")
+    ends = ends.withColumn("_y", F.sum(F.when(F.col("_x") > 0, 1).otherwise(0)).over(u.rowsBetween(Window.unboundedPreceding, 0)))
+    v = _running([user, "_y"], "_p")
+    ends = ends.withColumn("_r", F.sum("_v").over(v)).withColumn("_q", F.least(F.min(F.col("_r") - F.col("_v") + F.col("_n")).over(v), F.lit(0)))
+    before = {"_t0": F.lag("_r", 1, 0).over(u), "_m0": F.lag("_q", 1, 0).over(u), "_g0": F.coalesce(F.sum("_x").over(u.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))}
+    ends = ends.select(F.col(user).alias("_u"), F.col("_p").alias("_pp"), *(c.alias(n) for n, c in before.items()))
+    rows = rows.join(ends, rows[user].eqNullSafe(F.col("_u")) & rows["_p"].eqNullSafe(F.col("_pp"))).drop("_u", "_pp")
+    first = F.col("_g") == 0  # still the stretch that an earlier part began
+    total = F.when(first, F.col("_t0")).otherwise(0) + F.col("_t")
+    lowest = F.when(first, F.least(F.col("_m0"), F.col("_t0") + F.col("_m"))).otherwise(F.col("_m"))
+    rows = rows.withColumn("profondita", (total - lowest).cast("int")).withColumn("_g", F.col("_g0") + F.col("_g"))
+    pushed = F.when(F.col("_s") == 1, F.col("_e"))
+    rows = rows.withColumn("_own", F.last(pushed, ignorenulls=True).over(_running([user, "_p", "_g", "profondita"], *order)))
+    key = [user, "_g", "profondita"]
+    # of every part: is the depth asked for there, and what was last pushed to it
+    tops = rows.groupBy(*key, "_p").agg(F.max_by("_e", F.when(F.col("_s") == 1, F.struct(*order))).alias("_e"))
+    earlier = F.last("_e", ignorenulls=True).over(Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(F.col(user).alias("_u"), F.col("_g").alias("_gg"), F.col("profondita").alias("_d"), F.col("_p").alias("_pp"), earlier.alias("_old")).where("_old IS NOT NULL")
+    same = rows[user].eqNullSafe(F.col("_u")) & (rows["_g"] == F.col("_gg")) & (rows["profondita"] == F.col("_d")) & rows["_p"].eqNullSafe(F.col("_pp"))
+    rows = rows.join(tops, same, "left")
+    return rows.withColumn("cima", F.when(F.col("profondita") > 0, F.coalesce("_own", "_old"))).select(*events.columns, "profondita", "cima")
 
 
 def last_rows(events: DataFrame, user: str, order: list[str], n: int = 30) -> DataFrame:

@@ -115,7 +115,7 @@ d AS (SELECT *, CASE WHEN profondita > 0 THEN last_value(CASE WHEN s = 1 THEN ev
 def _stacked(spark, sf_dir):
     kind = F.col("event_type")
     step = F.when(kind.isin("click", "view"), 1).when(kind == "error", -1).when(kind == "purchase", F.lit(None)).otherwise(0)
-    return events.stacked(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], step, F.col("event_id"))
+    return events.stacked(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], step, F.col("event_id"), lambda t: F.date_trunc("day", t))
 
 
 @register("t2_breadcrumb_stack", f"WITH {_STACK_SQL} SELECT event_id, profondita, cima FROM d")

@@ -113,6 +113,32 @@ def test_stack(spark):
     assert got == [(1, 1, 1), (2, 2, 2), (3, 1, 1), (4, 0, None), (5, 0, None), (6, 1, 6), (7, 0, None), (8, 0, None), (9, 1, 9)]
 
 
+@pytest.mark.parametrize("width", [1, 3, 50])
+def test_stack_in_parts(spark, width):
+    """Against a stack that is kept, for users with and without closings."""
+    from random import Random
+
+    from cartulary.operators.events import stacked
+
+    rng = Random(width)
+    rows, want = [], {}
+    for u in ("a", "b", None):
+        kept = []
+        for t in range(60):
+            step = rng.choice([1, 1, -1, -1, 0] + ([None] if u == "b" else []))
+            if step is None:
+                kept = []
+            elif step == 1:
+                kept.append(t)
+            elif step == -1 and kept:
+                kept.pop()
+            rows.append((u, t, step))
+            want[u, t] = (len(kept), kept[-1] if kept else None)
+    events = spark.createDataFrame(rows, "u string, t int, s int")
+    got = {(r.u, r.t): (r.profondita, r.cima) for r in stacked(events, "u", ["t"], F.col("s"), F.col("t"), lambda t: F.floor(t / width)).collect()}
+    assert got == want
+
+
 def test_joins_on_order(spark):
     from cartulary.operators.intervals import as_of, overlaps, range_join
 
