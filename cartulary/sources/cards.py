@@ -13,17 +13,27 @@ from cartulary.functions import paths, text
 from cartulary.sources.files import whole_texts
 
 _SPLIT = r"(?s)\A---\r?\n(.*?)\r?\n---(?:\r?\n(.*))?\z"
-_STRING = r'("(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\'|[^,}\]\n]*)'
+_STRING = r'("[^"\\]*(?:\\.[^"\\]*)*"|\'[^\']*(?:\'\'[^\']*)*\'|[^,}\]\n]*)'
+
+
+def _close(value: Column) -> tuple[Column, Column, Column]:
+    """Whether a file has plain line ends and both marks, where it needs no expression over
+    the whole text; what follows the first mark; where the second begins in that."""
+    rest = F.substr(value, F.lit(5))
+    at = F.instr(rest, "\n---\n")
+    return F.startswith(value, F.lit("---\n")) & (at > 0) & ~F.contains(value, F.lit("\r")), rest, at
 
 
 def front(value: Column) -> Column:
     """S3: the text between the marks, null where the file has none."""
-    return text.first_match(value, _SPLIT, 1)
+    plain, rest, at = _close(value)
+    return F.when(plain, F.substr(rest, F.lit(1), at - 1)).otherwise(text.first_match(value, _SPLIT, 1))
 
 
 def body(value: Column) -> Column:
     """S3: what follows the front matter; the whole file where it has none."""
-    return F.when(F.rlike(value, F.lit(_SPLIT)), F.regexp_extract(value, _SPLIT, 2)).otherwise(value)
+    plain, rest, at = _close(value)
+    return F.when(plain, F.substr(rest, at + 5)).when(F.rlike(value, F.lit(_SPLIT)), F.regexp_extract(value, _SPLIT, 2)).otherwise(value)
 
 
 def plain(x: Column) -> Column:
@@ -34,8 +44,15 @@ def plain(x: Column) -> Column:
     return F.when(F.startswith(t, F.lit('"')), double).when(F.startswith(t, F.lit("'")), single).when(t.isin("", "null", "~"), F.lit(None)).otherwise(t)
 
 
+def _written(head: Column, key: str) -> Column:
+    """What the key's line has after it, found by plain search; null without such a line."""
+    lines = F.concat(F.lit("\n"), head)
+    at = F.instr(lines, f"\n{key}:")
+    return F.when(at > 0, F.btrim(F.substring_index(F.substr(lines, at + len(key) + 2), "\n", 1), F.lit(" \r")))
+
+
 def scalar(head: Column, key: str) -> Column:
-    return plain(text.first_match(head, rf"(?m)^{key}:[ ]*(.*?)[ ]*\r?$"))
+    return plain(_written(head, key))
 
 
 def _block(head: Column, key: str) -> Column:
@@ -44,7 +61,7 @@ def _block(head: Column, key: str) -> Column:
 
 def strings(head: Column, key: str) -> Column:
     """A list of scalars; null where the key is absent."""
-    flow = text.first_match(head, rf"(?m)^{key}:[ ]*\[(.*)\][ ]*\r?$")
+    flow = text.first_match(_written(head, key), r"^\[(.*)\]$")
     items = F.filter(F.regexp_extract_all(flow, F.lit(rf"(?:^|,)[ ]*{_STRING}"), F.lit(1)), lambda x: F.trim(x) != "")
     lines = F.regexp_extract_all(_block(head, key), F.lit(r"(?m)^ +- (.*?)\r?$"), F.lit(1))
     return F.coalesce(F.transform(items, plain), F.transform(lines, plain))
@@ -53,18 +70,24 @@ def strings(head: Column, key: str) -> Column:
 def records(head: Column, key: str, fields: list[str]) -> Column:
     """A list of records with the fields given; null where the key is absent."""
     items = F.regexp_extract_all(_block(head, key), F.lit(r"(?m)^ +- (.*(?:\r?\n {4,}.*)*)"), F.lit(1))
-    of = lambda x, f: plain(text.first_match(x, rf"(?:^|[{{,\n])\s*{f}:[ ]*{_STRING}"))
-    empty = F.when(F.rlike(head, F.lit(rf"(?m)^{key}:[ ]*\[\][ ]*\r?$")), F.array().cast(f"array<struct<{','.join(f + ':string' for f in fields)}>>"))
-    return F.coalesce(empty, F.transform(items, lambda x: F.struct(*(of(x, f).alias(f) for f in fields))))
+    of = lambda x, f: F.get(F.regexp_extract_all(x, F.lit(rf"(?:^|[{{,\n])\s*{f}:[ ]*{_STRING}"), F.lit(1)), F.lit(0))
+    written = F.transform(items, lambda x: F.struct(*(of(x, f).alias(f) for f in fields)))  # found once, then read
+    empty = F.when(_written(head, key) == "[]", F.array().cast(f"array<struct<{','.join(f + ':string' for f in fields)}>>"))
+    return F.coalesce(empty, F.transform(written, lambda x: F.struct(*(plain(x[f]).alias(f) for f in fields))))
 
 
-def read_cards(spark: SparkSession, root: str, scalars: list[str], lists: list[str], tables: list[str]) -> DataFrame:
-    """One row a ``*.md`` file right below ``root``: slug, the fields as text, lists
-    of texts, lists of (label, href), body. Files without front matter have null fields."""
-    rows = whole_texts(spark, root, "*.md", recursive=False)
+def cards_of(rows: DataFrame, scalars: list[str], lists: list[str], tables: list[str]) -> DataFrame:
+    """The cards of files (path, value): slug, the fields as text, lists of texts, lists of
+    (label, href), body. Files without front matter have null fields."""
     rows = rows.select(F.regexp_replace(paths.file_name(F.col("path")), r"\.md$", "").alias("slug"), front(F.col("value")).alias("head"), body(F.col("value")).alias("body"))
     h = F.col("head")
-    return rows.select("slug", *(scalar(h, k).alias(k) for k in scalars), *(strings(h, k).alias(k) for k in lists), *(records(h, k, ["label", "href"]).alias(k) for k in tables), "body")
+    rows = rows.select("slug", *(_written(h, k).alias(k) for k in scalars), *(strings(h, k).alias(k) for k in lists), *(records(h, k, ["label", "href"]).alias(k) for k in tables), "body")
+    return rows.select("slug", *(plain(F.col(k)).alias(k) for k in scalars), *lists, *tables, "body")
+
+
+def read_cards(spark: SparkSession, root: str, scalars: list[str], lists: list[str], tables: list[str]) -> DataFrame:
+    """One row a ``*.md`` file right below ``root``, see ``cards_of``."""
+    return cards_of(whole_texts(spark, root, "*.md", recursive=False), scalars, lists, tables)
 
 
 def card_text(scalars: list[str], lists: list[str], tables: list[str], body: str = "body") -> Column:
