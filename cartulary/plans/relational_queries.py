@@ -4,7 +4,6 @@ over the star schema. Sums of money are exact decimals."""
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -224,12 +223,10 @@ def other_formats(spark, sf_dir):
 
 @register("ext_database_table", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > 3")
 def database_table(spark, sf_dir):
-    """A table through an embedded database (in this process: for a single machine), read in
-    parts; the filter is the database's work."""
-    url, driver = f"jdbc:derby:memory:cartulary-{uuid.uuid4().hex};create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    """A table through an embedded database, read in parts; the filter is the database's work."""
     spark.sparkContext._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
-    jdbc.write_table(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").coalesce(1), url, "supplier", driver)
-    return jdbc.read_table(spark, url, "supplier", driver, "s_suppkey", 4).toDF("s_suppkey", "s_name").where("s_suppkey > 3")
+    url = jdbc.embedded(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), scratch(spark, "banca-dati"), "supplier")
+    return jdbc.read_table(spark, url, "supplier", jdbc.EMBEDDED, "s_suppkey", 4).toDF("s_suppkey", "s_name").where("s_suppkey > 3")
 
 
 @register("ext_partitioned_layout", "SELECT event_type, count(*) AS n FROM events WHERE event_type IN ('click', 'error') GROUP BY event_type")
