@@ -9,7 +9,8 @@ several islands, which are tasks of their own that evolve from different seeds;
 rounds the best packing of each island migrates to the others, and after the last the best of
 all stays. A block whose packing has as few containers as its sum allows rests. The badly
 filled containers of each block are emptied and their items packed again together with those
-of neighbouring blocks.
+of neighbouring blocks, dealt by size into as many groups as it takes to bound their items.
+Every block and every group is searched, whatever its size.
 
 An item larger than the capacity is cut into full containers and one remainder, which is
 packed like any other item.
@@ -32,8 +33,8 @@ from cartulary.session import materialize
 BLOCK, ISLANDS, ROUNDS, POPULATION, CHILDREN, ELITES = 1000, 2, 3, 4, 30, 2
 
 #: Blocks whose badly filled containers are packed together, fill below which a container is
-#: emptied for that, items beyond which a group is packed by best fit alone.
-NEIGHBOURS, WELL, LARGE = 64, 0.995, 20_000
+#: emptied for that, most items of a group.
+NEIGHBOURS, WELL, GROUP = 64, 0.995, 6_000
 
 #: Times as many children for such groups: there are few of them.
 LONGER = 4
@@ -170,8 +171,7 @@ def _round(number: int, children: int):
                     continue
                 elites = [_packing(p, sizes, capacity) for p in row["elite"]]
                 rng = Random(f"{row['formato_id']} {row['blocco']} {row['isola']} {number}")
-                few = children if len(sizes) <= LARGE else 0
-                best = evolved(sizes, capacity, rng, elites, few) if sizes else []
+                best = evolved(sizes, capacity, rng, elites, children) if sizes else []
                 elites = [_places(p, len(sizes)) for p in best[:ELITES]]
                 well = [best[0][1][b] <= (1 - WELL) * capacity for b in elites[0]] if best else []
                 out.append({**row, "elite": elites, "pieni": well, "valore": fitness(best[0], capacity) if best else 0.0})
@@ -234,7 +234,10 @@ def pack(items: DataFrame, key: str, size: str, formats: DataFrame, block: int =
     rows = materialize(rows.where("n > 0 OR size = 0"), "posti")  # a multiple of the capacity leaves no remainder
     loose = rows.where("NOT pieno").withColumn("gruppo", F.expr(f"blocco div {NEIGHBOURS}"))
     loose = loose.groupBy("formato_id", "capienza", "gruppo").agg(F.sort_array(F.collect_list(F.struct("n", "riga", "parte", "k"))).alias("oggetti"))
-    loose = materialize(loose.withColumnRenamed("gruppo", "blocco"), "residui")
+    loose = loose.withColumn("mani", F.ceil(F.size("oggetti") / GROUP)).withColumn("mano", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mani") - 1)))
+    dealt = F.filter("oggetti", lambda x, i: i % F.col("mani") == F.col("mano"))
+    loose = loose.select("formato_id", "capienza", (F.col("gruppo") + F.col("mano") * (1 << 40)).alias("blocco"), dealt.alias("oggetti"))
+    loose = materialize(loose, "residui")
     again = _packed(loose.select("formato_id", "capienza", "blocco", F.col("oggetti.n").alias("misure")), islands, rounds, LONGER * children, "gruppi").drop("capienza", "misure", "pieni")
     again = again.join(loose, ["formato_id", "blocco"]).select("formato_id", "blocco", F.explode(F.arrays_zip("oggetti", "posti")).alias("x"))
     name = lambda mark: F.concat_ws("-", F.lit(mark), F.col("blocco").cast("string"), F.col("bin").cast("string"))

@@ -100,3 +100,37 @@ def test_elites_are_kept():
     own = ([], [])
     best_fit(list(range(80)), sizes, 100, own)
     assert fitness(evolved(sizes, 100, Random(1), [own], 5)[0], 100) >= fitness(own, 100)
+
+
+def test_large_blocks_are_searched():
+    """More than 20,000 items: children are made as for any block."""
+    import pyarrow as pa
+
+    from cartulary.llm import packing
+
+    rng = Random(4)
+    sizes = [rng.randrange(250, 490) for _ in range(20_001)]
+    row = {"formato_id": 1, "capienza": 1000, "blocco": 0, "isola": 0, "misure": sizes, "elite": [], "pieni": [], "valore": 0.0}
+    found = next(packing._round(0, 4)(iter([pa.RecordBatch.from_pylist([row], schema=packing._ARROW)]))).to_pylist()[0]
+    start = packing.evolved(sizes, 1000, Random("1 0 0 0"), [], 0)[0]
+    assert found["valore"] > packing.fitness(start, 1000)
+    assert max(packing._packing(found["elite"][0], sizes, 1000)[1]) < 1000 and min(packing._packing(found["elite"][0], sizes, 1000)[1]) >= 0
+
+
+def test_groups_are_bounded(spark, monkeypatch):
+    """Containers that nothing fills: their items are dealt evenly, and all come out."""
+    from cartulary.llm import packing
+
+    sizes, own = [], packing._packed
+
+    def seen(groups, *rest):
+        if rest[-1] == "gruppi":
+            sizes.extend(sorted(len(r.misure) for r in groups.collect()))
+        return own(groups, *rest)
+
+    monkeypatch.setattr(packing, "GROUP", 50)
+    monkeypatch.setattr(packing, "_packed", seen)
+    items = [(k, 6 + k % 2) for k in range(310)]
+    packed = packing.pack(spark.createDataFrame(items, ITEMS), "doc_id", "n", spark.createDataFrame([(1, 10)], FORMATS), block=100, children=2)
+    assert len(checked(packed, items, [(1, 10)])) == 310
+    assert sizes == [44, 44, 44, 44, 44, 45, 45]
