@@ -34,7 +34,7 @@ BLOCK, ISLANDS, ROUNDS, POPULATION, CHILDREN, ELITES = 1000, 2, 3, 4, 30, 2
 
 #: Blocks whose badly filled containers are packed together, fill below which a container is
 #: emptied for that, most items of a group.
-NEIGHBOURS, WELL, GROUP = 64, 0.995, 6_000
+NEIGHBOURS, WELL, GROUP = 64, 0.995, 20_000
 
 #: Times as many children for such groups: there are few of them.
 LONGER = 4
